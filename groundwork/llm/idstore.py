@@ -177,11 +177,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part = tokens.encoder(path).encode, TaskContext.get().partitionId()
+        encode, part, attempt = tokens.encoder(path).encode, TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         keys, ids, held, made = [], [], 0, []
 
         def flush():
-            name = f"part-{part:06d}-{len(made):05d}.ids"
+            name = f"part-{part:06d}-{attempt}-{len(made):05d}.ids"
             if width == 2 and any(x and np.frombuffer(x, "<u4").max() > 65535 for x in ids):
                 raise ValueError("an id does not fit 2 bytes: use width=4")
             with files.new_file(folder, name) as out:

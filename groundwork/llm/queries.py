@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact, language, simhash, toxicity
+from . import common, embeddings, exact, idstore, language, packing, simhash, toxicity, warc
+
+
+def op1_pca_tiled_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(common.documents(spark, sf_dir))
 
 
 def op4_simhash_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,13 +29,23 @@ def op6_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.fresh(spark, "token-ids")
+    idstore.write(common.documents(spark, sf_dir), folder)
+    return idstore.read(spark, folder)
+
+
+def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_language_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(common.documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_ball_hashing, op5_digest_index_dedup, op6_toxicity_nnpu, op9_language_naive_bayes)}
+    return {f.__name__: f for f in (op1_pca_tiled_cosine, op2_best_fit_packing, op4_simhash_ball_hashing, op5_digest_index_dedup, op6_toxicity_nnpu, op7_token_id_store, op8_warc_chunks, op9_language_naive_bayes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_digest_index_dedup": exact.ORACLE}
+    return {"op5_digest_index_dedup": exact.ORACLE, "op8_warc_chunks": warc.ORACLE}
