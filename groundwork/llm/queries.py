@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, embeddings, exact, idstore, language, packing, simhash, toxicity, warc
+from . import common, embeddings, exact, idstore, language, packing, simhash, subwords, toxicity, warc
 
 
 def op1_pca_tiled_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,12 @@ def op9_language_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(common.documents(spark, sf_dir))
 
 
+def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.round_trips(common.documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pca_tiled_cosine, op2_best_fit_packing, op4_simhash_ball_hashing, op5_digest_index_dedup, op6_toxicity_nnpu, op7_token_id_store, op8_warc_chunks, op9_language_naive_bayes)}
+    return {f.__name__: f for f in (op1_pca_tiled_cosine, op2_best_fit_packing, op4_simhash_ball_hashing, op5_digest_index_dedup, op6_toxicity_nnpu, op7_token_id_store, op8_warc_chunks, op9_language_naive_bayes, op10_merge_dropout)}
 
 
 def oracle_sql() -> dict[str, str]:
