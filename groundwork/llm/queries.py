@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, embeddings, exact, idstore, language, packing, simhash, subwords, toxicity, warc
+from . import common, embeddings, exact, idstore, language, packing, simhash, subwords, suffixtree, toxicity, warc
 
 
 def op1_pca_tiled_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(common.documents(spark, sf_dir))
 
 
+def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(common.documents(spark, sf_dir))
+
+
 def op4_simhash_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pca_tiled_cosine, op2_best_fit_packing, op4_simhash_ball_hashing, op5_digest_index_dedup, op6_toxicity_nnpu, op7_token_id_store, op8_warc_chunks, op9_language_naive_bayes, op10_merge_dropout)}
+    return {f.__name__: f for f in (op1_pca_tiled_cosine, op2_best_fit_packing, op3_suffix_tree_scores, op4_simhash_ball_hashing, op5_digest_index_dedup, op6_toxicity_nnpu, op7_token_id_store, op8_warc_chunks, op9_language_naive_bayes, op10_merge_dropout)}
 
 
 def oracle_sql() -> dict[str, str]:
