@@ -151,33 +151,37 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(common.crc32_of_id(id_col) % 5 == 0, F.lit(False))
 
 
-def _gather(df: DataFrame, most: int, salt: str) -> list:
-    """Sparse rows of about `most` rows of df (doc_id, text), chosen by hash of the id; all if there are fewer."""
-    n = df.count()
-    if n > most:
-        df = df.filter(F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), F.lit(1_000_000)) < int(1_000_000 * most / n))
+def _share(salt: str, n: int, most: int) -> Column:
+    """True for about `most` of n rows, by hash of the id; for all if there are no more."""
+    return F.lit(True) if n <= most else F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), F.lit(1_000_000)) < int(1_000_000 * most / n)
+
+
+def _gather(texts: DataFrame) -> list:
+    """The sparse rows of a bounded number of texts."""
 
     def run(batches):
         for batch in batches:
             got = [features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_pydict({"slots": [s.astype("<u4").tobytes() for s, _ in got], "x": [x.astype("<f4").tobytes() for _, x in got]})
 
-    rows = common.mapped(df.select("text"), run, "slots binary, x binary").toLocalIterator()
+    rows = common.mapped(texts.select("text"), run, "slots binary, x binary").toLocalIterator()
     return [(np.frombuffer(r["slots"], "<u4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(np.float64)) for r in rows]
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
     """Learn from rows whose crc32(doc_id) mod 5 is not 0: those that labels.toxic marks 1 are positive; all
-    of them together are the unlabelled population. The class prior is the share of toxic among the labelled ones of these rows."""
+    of them together are the unlabelled population. The class prior is the share of toxic among the labelled
+    ones of these rows."""
     texts = common.only(docs, "doc_id", "text").filter(F.col("text").isNotNull() & ~held_out())
-    marks = common.only(labels, "doc_id", "toxic").filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = marks.filter(~held_out()).agg(F.count("toxic"), F.sum((F.col("toxic") == 1).cast("long"))).first()
+    marks = common.only(labels, "doc_id", "toxic").filter(F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = marks.agg(F.count("toxic"), F.sum((F.col("toxic") == 1).cast("long"))).first()
     if not counts[0] or not counts[1]:
         return train_nnpu([], [], 0.1)
     prior = min(max(counts[1] / counts[0], 0.001), 0.9)
-    toxic = marks.filter("toxic = 1")
-    positive = _gather(texts.join(toxic, "doc_id", "left_semi"), most_positive, "positive")
-    unlabelled = _gather(texts, most_unlabelled, "unlabelled")  # of all rows: the population the prior is of
+    # About most_positive ids, whatever the input: fit to broadcast, so that texts stay where they are.
+    chosen = marks.filter((F.col("toxic") == 1) & _share("positive", counts[1], most_positive)).select("doc_id")
+    positive = _gather(texts.join(F.broadcast(chosen), "doc_id", "left_semi"))
+    unlabelled = _gather(texts.filter(_share("unlabelled", texts.count(), most_unlabelled)))  # of all rows: the population the prior is of
     return train_nnpu(positive, unlabelled, prior)
 
 
