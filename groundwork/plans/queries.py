@@ -263,8 +263,8 @@ def eg_rp_sc(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("""
 , edge AS (SELECT DISTINCT r.sample_id, least(r.head, r.tail) AS a, greatest(r.head, r.tail) AS b FROM relation r JOIN relation c USING (sample_id, relation_id, head, tail) WHERE r.side = 'response' AND c.side = 'context')
-, both AS (SELECT sample_id, a, b FROM edge UNION SELECT sample_id, b, a FROM edge)
-, reach AS (WITH RECURSIVE w AS (SELECT sample_id, a AS n, a AS m FROM both UNION SELECT w.sample_id, w.n, both.b FROM w JOIN both ON both.sample_id = w.sample_id AND both.a = w.m) SELECT * FROM w)
+, arc AS (SELECT sample_id, a, b FROM edge UNION SELECT sample_id, b, a FROM edge)
+, reach AS (WITH RECURSIVE w AS (SELECT sample_id, a AS n, a AS m FROM arc UNION SELECT w.sample_id, w.n, arc.b FROM w JOIN arc ON arc.sample_id = w.sample_id AND arc.a = w.m) SELECT * FROM w)
 , comp AS (SELECT sample_id, n, min(m) AS c FROM reach GROUP BY 1, 2), size AS (SELECT sample_id, c, count(*) AS k FROM comp GROUP BY 1, 2)
 , best AS (SELECT sample_id, arg_min(c, (-k, c)) AS c FROM size GROUP BY 1)
 SELECT e.sample_id, count(*) AS largest_edges FROM edge e JOIN comp ON comp.sample_id = e.sample_id AND comp.n = e.a JOIN best ON best.sample_id = comp.sample_id AND best.c = comp.c GROUP BY 1
@@ -522,7 +522,7 @@ def text_normal_forms(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "documents").select("doc_id", X.normalize(t).alias("t"), X.word_count(t).cast("long").alias("words"), F.size(X.tokens(F.lower(t))).cast("long").alias("tokens"))
 
 
-@_query(r"SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '\b(the|a|an)\b', ' ', 'g'), '[^\p{L}\p{N}_\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM benchmark", base=False)
+@_query(r"SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '(^|[^\p{L}\p{N}_])(the|a|an)([^\p{L}\p{N}_]|$)', '\1 \3', 'g'), '(^|[^\p{L}\p{N}_])(the|a|an)([^\p{L}\p{N}_]|$)', '\1 \3', 'g'), '[^\p{L}\p{N}_\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM benchmark", base=False)
 def entity_normal_forms(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "benchmark").select("item_id", X.normalize_entity(F.col("text")).alias("key"))
 
