@@ -31,7 +31,7 @@ def extraction(raw: Column) -> Column:
     trips = F.coalesce(F.try_variant_get(v, "$.triplets", "array<struct<head:string,relation:string,tail:string>>"), F.array().cast("array<struct<head:string,relation:string,tail:string>>"))
     whole = F.filter(trips, lambda t: t["head"].isNotNull() & t["relation"].isNotNull() & t["tail"].isNotNull())
     trim = lambda t: F.struct(*[F.trim(t[k]).alias(k) for k in ("head", "relation", "tail")])
-    return F.struct(F.transform(F.filter(ents, lambda e: e.isNotNull()), F.trim).alias("entities"), F.transform(whole, trim).alias("triplets"))
+    return F.struct(F.transform(F.filter(ents, lambda e: e.isNotNull()), lambda e: F.trim(e)).alias("entities"), F.transform(whole, trim).alias("triplets"))
 
 
 def linearised_triplets(text: Column) -> Column:
