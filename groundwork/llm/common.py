@@ -148,7 +148,8 @@ def _contract(batches, most: int = 400_000):
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node on an edge (columns a, b: long); component is the smallest node.
+    """(node, component) for every node on an edge (columns a, b: long) that is not the smallest of its
+    component; component is that smallest node.
 
     Alternating large and small stars; each round is a group-by minimum (combined before the shuffle) and
     a join, and is checkpointed. Edges are first contracted batch by batch, so a dense group leaves a
