@@ -11,21 +11,30 @@ from groundwork.llm import common, exact, language, packing, simhash, toxicity
 LEAST_SCORE = 0.5
 
 
+def _passing(docs: DataFrame, predict, model, condition) -> DataFrame:
+    """docs' rows for which the prediction meets the condition. Columns are numbered meanwhile, so that none
+    of docs' clashes with a prediction's."""
+    apart = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    out = predict(apart, model, *apart.columns, text_col=f"c{docs.columns.index('text')}").filter(condition)
+    return out.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has letters and a language found with a posterior of LEAST_SCORE or more stay.
 
     Decided row by row; learned from these documents. All columns pass through."""
-    out = language.predict(docs, language.train(docs), *docs.columns, text_col="text")
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return _passing(docs, language.predict, language.train(docs), (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5 stay; learned from these documents and the labels table."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.predict(docs, model, *docs.columns, text_col="text").filter("score < 0.5").select(*docs.columns)
+    return _passing(docs, toxicity.predict, model, F.col("score") < 0.5)
 
 
 def _keeping(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """docs' rows whose doc_id is among keep's. Rows with a null id can't be named and go here; rows that share
+    an id stay together."""
     return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
 
 

@@ -33,7 +33,8 @@ def test_language_counts_are_those_of_the_text():
 
 
 def test_toxicity_held_out(spark):
-    docs, labels = common.documents(spark, SF), spark.read.parquet(f"{SF}/labels.parquet")
+    sf = "/root/testdata/sf0.1"  # the smaller tables hold some forty toxic texts in several languages
+    docs, labels = common.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
     got = toxicity.scored(docs, labels).join(labels, "doc_id").filter("held_out").select("score", "predicted", "toxic").toPandas()
     assert len(got) > 50
     pos, neg = got.score[got.toxic == 1].to_numpy(), got.score[got.toxic == 0].to_numpy()
@@ -96,3 +97,15 @@ def test_pipeline_stages(spark, sf):
     encode = tokens.encoder(tokens.default_path()).encode
     assert sum(r.length for r in rows) == sum(len(encode(r.text)) // 4 + 1 for r in docs.collect())
     assert sorted((r.doc_id, r.piece, r.length) for r in rows) == sorted((r.doc_id, r.piece, r.length) for r in pipeline.run(spark, sf).collect())
+
+
+def test_stages_survive_nulls_and_clashing_columns(spark, docs, empty):
+    from pyspark.sql import functions as F
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    named = lambda d: d.withColumns({"score": F.lit("x"), "lang_pred": F.lit("y"), "keep_id": F.lit(1), "component_id": F.lit(2)})
+    for table in (named(docs), named(empty)):
+        for _, stage in pipeline.STAGES[:-1]:
+            out = common.written(stage(spark, table, "/root/testdata/sf0.001"), "clash-stage")
+            assert out.columns == table.columns
+        assert pipeline.STAGES[-1][1](spark, out, "").count() >= out.count()
