@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 WHITE = " \t\n\v\f\r"
 
 _ARROW_ROWS = "512"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -42,10 +44,22 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", _ARROW_ROWS)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of what is written here go as soon as it is written."""
+    had = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, had)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._groundwork_path = path
     return out

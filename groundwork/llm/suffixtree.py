@@ -1,7 +1,7 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 The root is the add-one distribution of single tokens. A context of d words is a state if it came LEAST
-times or more in training, its suffix of d - 1 words is a state, and a divergence test holds: the mean
+times or more in training, and in P_LEAST of all places or more, its suffix of d - 1 words is a state, and a divergence test holds: the mean
 leave-one-out log ratio of its smoothed next-symbol distribution to its suffix's is EPSILON nats or more.
 A state's distribution is smoothed towards its suffix's, (c + m p) / (n + m) with m = n ** SHARE. A token is
 scored in the state of its longest suffix.
@@ -15,6 +15,8 @@ distribution can't fall behind its suffix's by more than m / n, so it is a state
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DEPTH, LEAST, EPSILON, SHARE = 2, 24, 0.01, 0.7
+DEPTH, LEAST, P_LEAST, EPSILON, SHARE = 2, 24, 1e-5, 0.01, 0.7
 #: Tokens in a block; occurrences from which a context is split; tokens for each bucket of requests.
 BLOCK, HOT, BUCKET = 800_000, 1_000_000, 2_500_000
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds white space
@@ -79,18 +81,35 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join(np.uint64(len(x.tobytes())).tobytes() + x.tobytes() for x in arrays)
+    """Columns one after the other; numbers of 4 bytes, which repeat a lot, are compressed."""
+    out = []
+    for x in arrays:
+        data = zlib.compress(x.tobytes(), 1) if x.dtype.itemsize == 4 else x.tobytes()
+        out += [np.uint64(len(data)).tobytes(), data]
+    return b"".join(out)
 
 
 def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
     out, at = [], 0
     for kind in kinds:
         n = int(np.frombuffer(data, np.uint64, 1, at)[0])
-        out.append(np.frombuffer(data, np.uint8, n, at + 8).view(kind))
+        part = data[at + 8 : at + 8 + n]
+        out.append(np.frombuffer(zlib.decompress(part) if np.dtype(kind).itemsize == 4 else part, kind))
         at += 8 + n
     return out
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    """The low 48 bits of keys, 6 bytes each: enough to tell the next symbols of one context apart."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _long(octets: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(octets) // 6, 8), np.uint8)
+    out[:, :6] = octets.reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 class _Walk:
     """A block with the answers so far: per token its log probability, and the contexts to ask about next."""
 
@@ -119,6 +138,7 @@ class _Walk:
             count[order[cuts[b] : cuts[b + 1]]] = np.frombuffer(data, np.uint32)
         self.count = count[self.tokens]
         self.log = np.log((self.count + 1) / (total + distinct + 1))
+        self.least = max(LEAST, P_LEAST * total)
         self.base = np.add.reduceat(self.log, self.begin)
         before = np.zeros(len(self.tokens), np.int64)
         before[1:] = self.count[:-1]
@@ -126,7 +146,7 @@ class _Walk:
         self.context = np.zeros(len(self.tokens), np.uint64)
         self.context[1:] = self.mixed[self.tokens[:-1]]
         self.occurred = before  # of the context, in training
-        self.asked = before >= LEAST
+        self.asked = before >= self.least
 
     # Depth d: (context, next) pairs.
 
@@ -149,7 +169,7 @@ class _Walk:
         def payload(lo, hi):
             own = order[lo:hi]
             runs, at, length = np.unique(group[own], return_index=True, return_counts=True)
-            return _pack(runs, n[own][at].astype(np.uint64), length.astype(np.uint32), u[own], count[own], parent[own])
+            return _pack(runs, n[own][at].astype(np.uint64), length.astype(np.uint32), _short(u[own]), count[own], parent[own])
 
         return order, cuts, payload
 
@@ -169,7 +189,7 @@ class _Walk:
         longer[self.at] = self.keys
         self.occurred, self.context = np.concatenate([[0], held[:-1]]), np.concatenate([np.zeros(1, np.uint64), longer[:-1]])
         self.occurred[self.first] = 0
-        self.asked = (self.occurred >= LEAST) & is_state
+        self.asked = (self.occurred >= self.least) & is_state
 
 
 def _sorted_out(table: pa.Table) -> tuple[list[int], list[bytes]]:
@@ -188,14 +208,14 @@ def _merge_words(table: pa.Table, bucket: int) -> list[dict]:
 
 def _merge_pairs(table: pa.Table, bucket: int, level: int) -> list[dict]:
     blocks, data = _sorted_out(table)
-    parts = [_unpack(x, np.uint64, np.uint64, np.uint32, np.uint64, np.uint32, np.float32) for x in data]
+    parts = [_unpack(x, np.uint64, np.uint64, np.uint32, np.uint8, np.uint32, np.float32) for x in data]
     del data
-    sizes = [len(p[3]) for p in parts]
+    sizes = [len(p[4]) for p in parts]
     group = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
     n = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
-    key, count, parent = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
+    key, count, parent = _long(np.concatenate([p[3] for p in parts])), *(np.concatenate([p[i] for p in parts]) for i in (4, 5))
     del parts
-    # A pair's key goes with one group only, so equal keys are equal pairs.
+    key ^= common.mix64(group)
     u, one, inverse = np.unique(key, return_index=True, return_inverse=True)
     del key
     c = np.bincount(inverse, count, len(u))
@@ -233,7 +253,11 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     kind = dict(docs.dtypes)[id_col]
     held = F.coalesce(common.crc32_of_id(id_col) % 7 == 2, F.lit(False))
     rows = docs.select(docs[f"`{id_col}`"], docs[f"`{text_col}`"].cast("string").alias("text"), (~held).cast("int").alias("train"))
-    blocks = common.written(_blocks(rows, kind), "lm-blocks")
+    # Bucketed by block, so that blocks stay where they are while answers come to them.
+    table = f"lm_blocks_{uuid.uuid4().hex}"
+    made = _blocks(rows, kind).write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortBy("block")
+    made.option("path", common.fresh(spark, "lm-blocks")).option("compression", "zstd").saveAsTable(table)
+    blocks = spark.table(table)
     size = blocks.agg(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // BUCKET))
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -277,7 +301,6 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
         if level == 0:
             got = new.filter("block < 0").agg(F.sum("n"), F.sum("v")).first()
             totals = (got[0] or 0, got[1] or 0)
-        spark.sparkContext._jvm.System.gc()  # shuffle files of what is written now go
 
     out_schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 

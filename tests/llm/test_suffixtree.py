@@ -36,7 +36,7 @@ def brute(rows, depth=2):
 
     for d in range(1, depth + 1):
         for ctx, n in occurs.items():
-            if len(ctx) == d and n >= S.LEAST and (d == 1 or states.get(ctx[1:])):
+            if len(ctx) == d and n >= max(S.LEAST, S.P_LEAST * total) and (d == 1 or states.get(ctx[1:])):
                 m, gain = n**S.SHARE, 0
                 for (c2, w), k in pairs.items():
                     if c2 == ctx:
