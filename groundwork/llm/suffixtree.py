@@ -1,14 +1,16 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 The root is the add-one distribution of single tokens. A context of d words is a state if it came LEAST
-times or more in training, and in P_LEAST of all places or more, its suffix of d - 1 words is a state, and a divergence test holds: the mean
+times or more in training, its suffix of d - 1 words is a state, and a divergence test holds: the mean
 leave-one-out log ratio of its smoothed next-symbol distribution to its suffix's is EPSILON nats or more.
+LEAST does not grow with the table, so what the tree holds does.
 A state's distribution is smoothed towards its suffix's, (c + m p) / (n + m) with m = n ** SHARE. A token is
 scored in the state of its longest suffix.
 
 Nothing of the tree is held in one place. Texts become blocks of some hundred thousand tokens, written once.
 For each depth a block asks about its distinct (context, next) pairs with what it counted of them; requests
-meet by context in bounded buckets, are summed over all blocks, and each block gets its answers back. A
+meet by context in bounded buckets, are summed over all blocks, and each block gets its answers back: the sums
+and which contexts are states, from which it works out the probabilities itself. A
 context that came HOT times or more is dealt by its next symbols as well; with so many occurrences its own
 distribution can't fall behind its suffix's by more than m / n, so it is a state without a test.
 """
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DEPTH, LEAST, P_LEAST, EPSILON, SHARE = 2, 24, 1e-5, 0.01, 0.7
+DEPTH, LEAST, EPSILON, SHARE = 2, 24, 0.01, 0.7
+P_LEAST = 0  # share of all places a context must come in: none
 #: Tokens in a block; occurrences from which a context is split; tokens for each bucket of requests.
 BLOCK, HOT, BUCKET = 800_000, 1_000_000, 2_500_000
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds white space
@@ -81,10 +84,10 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Columns one after the other; numbers of 4 bytes, which repeat a lot, are compressed."""
+    """Columns one after the other; numbers of 4 bytes, which repeat a lot, are compressed, octet by octet."""
     out = []
     for x in arrays:
-        data = zlib.compress(x.tobytes(), 1) if x.dtype.itemsize == 4 else x.tobytes()
+        data = zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T.tobytes(), 1) if x.dtype.itemsize == 4 else x.tobytes()
         out += [np.uint64(len(data)).tobytes(), data]
     return b"".join(out)
 
@@ -94,7 +97,9 @@ def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
     for kind in kinds:
         n = int(np.frombuffer(data, np.uint64, 1, at)[0])
         part = data[at + 8 : at + 8 + n]
-        out.append(np.frombuffer(zlib.decompress(part) if np.dtype(kind).itemsize == 4 else part, kind))
+        if np.dtype(kind).itemsize == 4:
+            part = np.frombuffer(zlib.decompress(part), np.uint8).reshape(4, -1).T.tobytes()
+        out.append(np.frombuffer(part, kind))
         at += 8 + n
     return out
 
@@ -138,7 +143,6 @@ class _Walk:
             count[order[cuts[b] : cuts[b + 1]]] = np.frombuffer(data, np.uint32)
         self.count = count[self.tokens]
         self.log = np.log((self.count + 1) / (total + distinct + 1))
-        self.least = max(LEAST, P_LEAST * total)
         self.base = np.add.reduceat(self.log, self.begin)
         before = np.zeros(len(self.tokens), np.int64)
         before[1:] = self.count[:-1]
@@ -146,7 +150,7 @@ class _Walk:
         self.context = np.zeros(len(self.tokens), np.uint64)
         self.context[1:] = self.mixed[self.tokens[:-1]]
         self.occurred = before  # of the context, in training
-        self.asked = before >= self.least
+        self.asked = before >= LEAST
 
     # Depth d: (context, next) pairs.
 
@@ -175,21 +179,22 @@ class _Walk:
 
     def pairs_told(self, replies: dict[int, bytes], buckets: int) -> None:
         order, cuts, _ = self.pairs(buckets)
-        new, count = np.full(len(order), np.nan, np.float32), np.zeros(len(order), np.int64)
+        states, count = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
         for b, data in replies.items():
-            log, n = _unpack(data, np.float32, np.uint32)
+            flag, c = _unpack(data, np.float32, np.uint32)
             own = order[cuts[b] : cuts[b + 1]]
-            new[own], count[own] = log, n
-        got = new[self.inverse]
-        state = ~np.isnan(got)
-        self.log[self.at[state]] = got[state]
+            states[own], count[own] = ~np.isnan(flag), c
+        state, counted = self.at[states[self.inverse]], count[self.inverse]
+        n = self.occurred[state].astype(np.float64)
+        m = n**SHARE
+        self.log[state] = np.log((counted[states[self.inverse]] + m * np.exp(self.log[state])) / (n + m))
         held, is_state = np.zeros(len(self.tokens), np.int64), np.zeros(len(self.tokens), bool)
-        held[self.at], is_state[self.at[state]] = count[self.inverse], True
+        held[self.at], is_state[state] = counted, True
         longer = np.zeros(len(self.tokens), np.uint64)
         longer[self.at] = self.keys
         self.occurred, self.context = np.concatenate([[0], held[:-1]]), np.concatenate([np.zeros(1, np.uint64), longer[:-1]])
         self.occurred[self.first] = 0
-        self.asked = (self.occurred >= self.least) & is_state
+        self.asked = (self.occurred >= LEAST) & is_state
 
 
 def _sorted_out(table: pa.Table) -> tuple[list[int], list[bytes]]:
@@ -207,6 +212,7 @@ def _merge_words(table: pa.Table, bucket: int) -> list[dict]:
 
 
 def _merge_pairs(table: pa.Table, bucket: int, level: int) -> list[dict]:
+    """A reply has two numbers a pair: NaN where its context is no state, else 0; and its sum."""
     blocks, data = _sorted_out(table)
     parts = [_unpack(x, np.uint64, np.uint64, np.uint32, np.uint8, np.uint32, np.float32) for x in data]
     del data
@@ -221,14 +227,13 @@ def _merge_pairs(table: pa.Table, bucket: int, level: int) -> list[dict]:
     c = np.bincount(inverse, count, len(u))
     p, n, group = np.exp(parent[one].astype(np.float64)), n[one].astype(np.float64), group[one]
     m = n**SHARE
-    log = np.log((c + m * p) / (n + m))
     gain = np.where(c > 0, c * (np.log((np.maximum(c - 1, 0) + m * p) / np.maximum(n - 1 + m, 1)) - np.log(p)), 0)
     names, of = np.unique(group, return_inverse=True)
     mean = np.bincount(of, gain, len(names))[of] / n
-    log[(mean < EPSILON) & (n < HOT)] = np.nan
+    flag = np.where((mean < EPSILON) & (n < HOT), np.float32(np.nan), np.float32(0))
     cuts = np.cumsum(sizes)[:-1]
-    logs, counts = np.split(log.astype(np.float32)[inverse], cuts), np.split(np.minimum(c, 2**32 - 1).astype(np.uint32)[inverse], cuts)
-    return [{"block": b, "bucket": bucket, "level": level, "reply": _pack(x, y), "n": None, "v": None} for b, x, y in zip(blocks, logs, counts)]
+    flags, counts = np.split(flag[inverse], cuts), np.split(np.minimum(c, 2**32 - 1).astype(np.uint32)[inverse], cuts)
+    return [{"block": b, "bucket": bucket, "level": level, "reply": _pack(x, y), "n": None, "v": None} for b, x, y in zip(blocks, flags, counts)]
 
 
 _ANSWERS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("level", pa.int32()), ("reply", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])

@@ -93,3 +93,22 @@ def test_hot_context_is_a_state_whatever_its_split(spark, docs):
 
 def test_empty(empty):
     assert S.score(empty).collect() == []
+
+
+def test_what_counts_as_a_context_does_not_rise_with_the_table(spark):
+    """A context that comes 39 times is a state among 5 million tokens as it is among some thousands."""
+    rare = [(i, "alpha beta gamma") for i in range(45)]
+    learned = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rare)
+    assert S.LEAST <= learned < 50
+    for filler in (1, 500):
+        rows = spark.range(1000, 1000 + filler).selectExpr("id AS doc_id", "repeat('x y z w ', 2500) AS text")
+        got = S.score(rows.unionByName(spark.createDataFrame(rare, "doc_id long, text string"))).filter("doc_id < 1000").collect()
+        n, m = learned, learned**S.SHARE
+        total, distinct = got[0].train_tokens, 8 if filler > 1 or zlib.crc32(b"1000") % 7 != 2 else 4
+        p = (learned + 1) / (total + distinct + 1)
+        one = (n + m * p) / (n + m)  # gamma after beta, the end after gamma: always so
+        end = (total - 3 * learned) // 10_001 + learned
+        q = (end + 1) / (total + distinct + 1)
+        last = (n + m * (n + m * q) / (n + m)) / (n + m)
+        want = math.log10(p) + math.log10(one) + math.log10((n + m * one) / (n + m)) + math.log10(last)
+        assert {round(r.score, 3) for r in got} == {round(want, 3)}
