@@ -1,11 +1,11 @@
 """Encoding and decoding with a SentencePiece BPE vocabulary, with seeded merge-dropout.
 
 Candidate merges wait in an agenda by score and place. Each candidate taken from it is skipped if a keyed
-hash of (seed, variant, unit, place, piece) falls below the dropout rate, so one text has many
-segmentations, each reproducible, and all decode to the very text. With rate 0 the ids are those of the
-sentencepiece library. Merges never cross the start of a word in such vocabularies, so units (a run of
-blanks and the word behind it) are encoded by themselves and kept in a bounded cache; the number of
-variants a word may have in a run is bounded for that (VARIANTS; a document's variant comes from its key).
+hash of (seed, document, position of the unit, step) falls below the dropout rate, so each occurrence of a
+word is segmented by itself, reproducibly, and all decode to the very text. With rate 0 the ids are those of
+the sentencepiece library. Merges never cross the start of a word in such vocabularies, so units (a run of
+blanks and the word behind it) are encoded by themselves. What a unit becomes depends on which steps are
+skipped and on nothing else; bounded caches hold that for what came lately, and bound no outcome.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 
 from . import common, tokens
 
-RATE, VARIANTS, SEED = 0.1, 4, 42
+RATE, SEED = 0.1, 42
+#: Steps drawn for all units of a text at once, and characters of a unit that may do with them; others draw alone.
+STEPS, SHORT = 24, 40
 _UNIT = re.compile(" *[^ ]+| +")
 _BLANK = "▁"
 _MASK, _ODD = (1 << 64) - 1, 0xD6E8FEB86659FD93
@@ -42,7 +44,7 @@ class Codec:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.rate, self.seed, self.limit = rate, seed, int(rate * 2**64)
+        self.rate, self.seed, self.limit = rate, seed, int(rate * 2**32)
         self.rank, self.bytes, self.table = {}, [0] * 256, []
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
@@ -56,18 +58,39 @@ class Codec:
                     raise ValueError("pieces of this vocabulary cross words")
                 self.rank[piece] = (-sp.get_score(i), i)
                 self.table.append(piece.replace(_BLANK, " ").encode())
-        self.units = [tokens.Bounded(lambda u, v=v: self._unit(u, v), 480_000 // VARIANTS) for v in range(VARIANTS)]
-
-    def _unit(self, rest: str, variant: int) -> bytes:
-        """Ids of a unit; rest is the unit without its first blank."""
+        #: Unit, or unit and set of skipped steps (as bits) -> ids, number of steps.
+        self.free = tokens.Bounded(lambda u: (self._unit(u, 0, 0), self.steps), 160_000)
+        self.skipped = tokens.Bounded(lambda k: (self._unit(k[0], 0, k[1]), self.steps), 320_000)
+
+    def _draws(self, base: np.ndarray, start: int, stop: int) -> np.ndarray:
+        """Whether each step from start to stop (even numbers) is skipped, a row for each base; two draws a hash."""
+        with np.errstate(over="ignore"):
+            x = common.mix64(base[:, None] + np.arange(start // 2 + 1, stop // 2 + 1, dtype=np.uint64) * np.uint64(_ODD))
+        return np.ascontiguousarray(x).view("<u4").reshape(len(base), -1) < self.limit
+
+    def _skips(self, base: int, skipped: int | None):
+        """Whether to skip a step: as drawn from base, or as in a set of steps."""
+        if skipped is not None:
+            return lambda t: skipped >> t & 1
+        drawn: list = []
+
+        def skip(t: int) -> bool:
+            if t >= len(drawn):
+                drawn.extend(self._draws(np.array([base], np.uint64), len(drawn), len(drawn) + 256)[0].tolist())
+            return drawn[t]
+
+        return skip
+
+    def _unit(self, rest: str, base: int, skipped: int | None = None) -> bytes:
+        """Ids of a unit; rest is the unit without its first blank. Leaves the number of candidates in steps."""
         unit = " " + rest
         rank, limit = self.rank, self.limit
         # A blank sign that is in the text itself is spelled in bytes: it must not come back as a blank.
         part: list = [_BLANK if c == " " else None if c == _BLANK else c for c in unit]
         n = len(part)
-        base = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), (self.seed * 0x9E3779B1 + variant) & _MASK) if limit else 0
         if n <= 48:
-            return self._ids(self._merged(part, base))
+            return self._ids(self._merged(part, base, skipped))
+        skip, step = self._skips(base, skipped), 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
         for i in range(n - 1):
@@ -76,10 +99,11 @@ class Codec:
         heapq.heapify(agenda)
         alive = [True] * n
         while agenda:
-            _, i, j, piece, merged = heapq.heappop(agenda)
+            _, i, j, _, merged = heapq.heappop(agenda)
             if not alive[i] or j >= n or not alive[j] or after[i] != j or part[i] + part[j] != merged:
                 continue
-            if limit and ((base ^ (i << 20 | piece)) * _ODD & _MASK) < limit:
+            step += 1
+            if limit and skip(step - 1):
                 continue
             part[i], alive[j] = merged, False
             after[i] = k = after[j]
@@ -90,31 +114,34 @@ class Codec:
             k = before[i]
             if k >= 0 and part[k] is not None and (got := rank.get(part[k] + merged)):
                 heapq.heappush(agenda, (got[0], k, i, got[1], part[k] + merged))
+        self.steps = step
         left, i = [], 0
         while i < n:
             left.append(part[i])
             i = after[i]
         return self._ids(left)
 
-    def _merged(self, part: list, base: int) -> list:
+    def _merged(self, part: list, base: int, skipped: int | None = None) -> list:
         """What the agenda makes of a short unit; the next candidate is found by looking at all of them."""
         rank, limit, none = self.rank.get, self.limit, (float("inf"), -1)
-        place = list(range(len(part)))
+        skip, step = self._skips(base, skipped), 0
         waiting = [none if p is None or q is None else rank(p + q, none) for p, q in zip(part, part[1:])]
         while waiting:
             best = min(waiting)
             if best is none or best[1] < 0:
                 break
             k = waiting.index(best)
-            if limit and ((base ^ (place[k] << 20 | best[1])) * _ODD & _MASK) < limit:
+            step += 1
+            if limit and skip(step - 1):
                 waiting[k] = none
                 continue
             part[k] += part[k + 1]
-            del part[k + 1], place[k + 1], waiting[k]
+            del part[k + 1], waiting[k]
             if k < len(waiting):
                 waiting[k] = none if part[k + 1] is None else rank(part[k] + part[k + 1], none)
             if k:
                 waiting[k - 1] = none if part[k - 1] is None else rank(part[k - 1] + part[k], none)
+        self.steps = step
         return part
 
     def _ids(self, parts: list) -> bytes:
@@ -128,16 +155,30 @@ class Codec:
         return array("I", ids).tobytes()
 
     def variant(self, key) -> int:
-        return xxhash.xxh64_intdigest(str(key), self.seed & _MASK) % VARIANTS
+        """The hash of a document that its draws come from."""
+        return xxhash.xxh64_intdigest(str(key), self.seed & _MASK)
 
     def encode(self, text: str | None, key=None) -> bytes:
-        """Ids of text in the variant of key. Null and empty texts have none."""
+        """Ids of text, drawn by key; without a key by the text itself. Null and empty texts have none."""
         if not text:
             return b""
-        units = self.units[self.variant(key) if self.limit else 0]
-        if text[0] != " " and "  " not in text:
-            return b"".join(map(units.__getitem__, text.split(" ")))
-        return b"".join([units[u[1:]] for u in _UNIT.findall(" " + text)])
+        units = text.split(" ") if text[0] != " " and "  " not in text else [u[1:] for u in _UNIT.findall(" " + text)]
+        if not self.limit:
+            return b"".join([self.free[u][0] for u in units])
+        document = self.variant(text.encode("utf-8", "surrogatepass") if key is None else key)
+        with np.errstate(over="ignore"):
+            base = common.mix64(np.uint64(document) + np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        drawn = np.packbits(self._draws(base, 0, STEPS), axis=1, bitorder="little").astype(np.uint32)
+        drawn = (drawn << np.arange(0, STEPS, 8, dtype=np.uint32)).sum(axis=1).tolist()
+        out = []
+        for i, (unit, steps) in enumerate(zip(units, drawn)):
+            ids, n = self.free[unit] if len(unit) <= SHORT else (b"", STEPS + 1)
+            skipped = 0
+            while n <= STEPS and (rest := (steps & ((1 << n) - 1)) ^ skipped):
+                skipped |= rest & -rest
+                ids, n = self.skipped[unit, skipped]
+            out.append(ids if n <= STEPS else self._unit(unit, int(base[i])))
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         got = b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -151,7 +192,7 @@ def codec(path: str, rate: float = RATE, seed: int = SEED) -> Codec:
 
 
 def encode(docs: DataFrame, path: str | None = None, rate: float = RATE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids: array of int) of every row; the variant comes from the id. Null ids are a key of their own."""
+    """(id, ids: array of int) of every row; the draws come from the id, of null ids from the text."""
     path = path or default_path()
     two = common.only(docs, id_col, text_col)
 
@@ -181,7 +222,7 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
 
 def round_trips(docs: DataFrame, path: str | None = None, rate: float = RATE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row encoded and decoded in one pass: id, variant, n_pieces, ids_crc32, text_crc32 (of the decoded
+    """Every row encoded and decoded in one pass: id, variant (31 bits of the id's hash), n_pieces, ids_crc32, text_crc32 (of the decoded
     text), lossless. Null texts count as empty: no pieces, lossless. Extra columns are ignored."""
     path = path or default_path()
     two = common.only(docs, id_col, text_col)
@@ -194,7 +235,7 @@ def round_trips(docs: DataFrame, path: str | None = None, rate: float = RATE, se
                 text = text.as_py() or ""
                 ids = c.encode(text, key)
                 back = c.decode(ids)
-                for held, x in zip(out, (c.variant(key), len(ids) // 4, zlib.crc32(ids), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == text)):
+                for held, x in zip(out, (c.variant(key) >> 33, len(ids) // 4, zlib.crc32(ids), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == text)):
                     held.append(x)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds))], [id_col, "variant", "n_pieces", "ids_crc32", "text_crc32", "lossless"])

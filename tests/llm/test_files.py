@@ -209,5 +209,26 @@ def test_both_agendas_agree():
         assert b"".join(c.table[i] for i in np.frombuffer(c._unit(long, 0), "<u4")).decode() == " " + long
 
 
+def test_each_occurrence_is_segmented_by_itself():
+    c = subwords.Codec(subwords.default_path(), 0.3, 1)
+    assert len({c.encode("considerations", k) for k in range(300)}) > 10
+    word = "internationalisation" * 3  # too long for the caches
+    assert len({c.encode(word, k) for k in range(50)}) > 10
+    pieces = c.encode(" ".join(["considerations"] * 300), 7)
+    words = "".join(f"|{p}" for p in (c.table[i].decode() for i in np.frombuffer(pieces, "<u4"))).split("| ")
+    assert len(set(words)) > 10
+    assert pieces == subwords.Codec(subwords.default_path(), 0.3, 1).encode(" ".join(["considerations"] * 300), 7)
+
+
+def test_cached_outcomes_are_those_of_the_draws():
+    c = subwords.Codec(subwords.default_path(), 0.3, 1)
+    for i in range(300):
+        doc = c.variant(i)
+        base = int(subwords.common.mix64(np.array([doc], np.uint64))[0])
+        assert c.encode("considerations", i) == c._unit("considerations", base)
+    skipped = c._draws(np.arange(20_000, dtype=np.uint64), 0, subwords.STEPS).mean()
+    assert abs(skipped - 0.3) < 0.005
+
+
 def test_subwords_empty(empty):
     assert subwords.round_trips(empty).collect() == []
