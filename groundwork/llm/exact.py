@@ -75,7 +75,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table gives no rows.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, common.fresh(spark, "digest-index"), buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # A new index is an empty table, so that it goes through the same anti-join and append as one with rows.
+    index = index or DigestIndex(spark, common.fresh(spark, "digest-index"), buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))).attach()
     rows = common.written(digests(docs, id_col, text_col), "digests")
     index.add(rows)
     out = common.joined_on_hot(rows, index.rows(), "digest", "group_size")

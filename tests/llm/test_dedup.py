@@ -180,6 +180,14 @@ def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+def test_a_fresh_index_is_joined_and_appended_to(docs, monkeypatch):
+    ready, add = [], exact.DigestIndex.add
+    monkeypatch.setattr(exact.DigestIndex, "add", lambda self, rows: ready.append(self._ready) or add(self, rows))
+    got = exact.exact_duplicates(docs).collect()
+    assert ready == [True]
+    assert len(got) == docs.count()
+
+
 def test_components_of_a_chain(spark):
     n = 300
     e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long").repartition(7)
