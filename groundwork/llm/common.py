@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -161,20 +162,23 @@ def _contract(batches, most: int = 400_000):
         yield forest()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) for every node on an edge (columns a, b: long) that is not the smallest of its
     component; component is that smallest node.
 
     Alternating large and small stars; each round is a group-by minimum (combined before the shuffle) and
     a join, and is checkpointed. Edges are first contracted batch by batch, so a dense group leaves a
-    forest. Nothing is collected but a row count and a checksum.
+    forest. Nothing is collected but a row count and a checksum. It ends when these settle; if that takes
+    more than `rounds` rounds (where given), it is an error.
     """
     spark = edges.sparkSession
     scratch(spark)
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
     e = e.mapInArrow(_contract, "a long, b long").distinct().checkpoint()
     state = None
-    for _ in range(rounds):
+    for n in itertools.count():
+        if n == rounds:
+            raise RuntimeError(f"components have not settled in {rounds} rounds")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         e = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()

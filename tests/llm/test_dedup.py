@@ -193,3 +193,9 @@ def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long").repartition(7)
     got = {r.node: r.component for r in common.components(e).collect()}
     assert got == {**dict.fromkeys(range(1, n + 1), 0), 1001: 1000}
+
+
+def test_components_that_have_not_settled_are_an_error(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    with pytest.raises(RuntimeError, match="settled"):
+        common.components(e, rounds=1)
