@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.llm import common, exact, language, packing, simhash, toxicity
@@ -32,21 +32,41 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _passing(docs, toxicity.predict, model, F.col("score") < 0.5)
 
 
-def _keeping(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """docs' rows whose doc_id is among keep's. Rows with a null id can't be named and go here; rows that share
-    an id stay together."""
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+def _keeping(docs: DataFrame, keep: DataFrame, unnamed: DataFrame) -> DataFrame:
+    """docs' rows whose doc_id is among keep's, and those with a null id whose text's SHA-256 is among unnamed's
+    (column sha). Rows that share an id stay together."""
+    named = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    apart = docs.filter("doc_id IS NULL").toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    found = apart.join(unnamed, _sha(F.col(f"c{docs.columns.index('text')}")) == F.col("sha"), "left_semi")
+    return named.unionByName(found.toDF(*docs.columns))
+
+
+def _sha(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def _unnamed(docs: DataFrame) -> DataFrame:
+    """(sha, text): the distinct texts of rows with a null id; a null text counts as empty."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.filter("doc_id IS NULL").select(_sha(F.col("text")).alias("sha"), text.alias("text")).dropDuplicates(["sha"])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for white space, the longest, then that with the smallest doc_id, stays."""
-    return _keeping(docs, exact.exact_duplicates(docs).filter("kept").select("doc_id"))
+    """Of documents equal but for white space, the longest, then that with the smallest doc_id, stays.
+    Those with a null id stay where none of their group has one."""
+    found = common.written(exact.exact_duplicates(docs), "exact-found").filter("kept")
+    texts = exact.digests(_unnamed(docs), "sha").withColumnRenamed("id", "sha")
+    unnamed = texts.join(found.filter("doc_id IS NULL").select(F.col("text_sha256").alias("digest")), "digest", "left_semi")
+    return _keeping(docs, found.select("doc_id"), unnamed.select("sha"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-equal fingerprints, that with the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs)
-    return _keeping(docs, found.filter("doc_id = component_id").select("doc_id"))
+    """Of documents linked by near-equal fingerprints, that with the smallest doc_id stays. Those with
+    a null id stay where none of those they are linked to has one."""
+    found = common.written(simhash.near_duplicates(docs), "simhash-found").filter("doc_id <=> component_id")
+    texts = simhash.fingerprints(_unnamed(docs), "sha").withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))
+    unnamed = texts.join(found.filter("doc_id IS NULL"), "fingerprint", "left_semi")
+    return _keeping(docs, found.select("doc_id"), unnamed.select("sha"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,3 +109,15 @@ def test_stages_survive_nulls_and_clashing_columns(spark, docs, empty):
             out = common.written(stage(spark, table, "/root/testdata/sf0.001"), "clash-stage")
             assert out.columns == table.columns
         assert pipeline.STAGES[-1][1](spark, out, "").count() >= out.count()
+
+
+def test_null_ids_stay_where_nothing_else_does(spark):
+    import corpus_pipeline as pipeline
+
+    from .conftest import prose
+
+    rows = [(1, prose(1, 60)), (None, prose(1, 60)), (None, prose(2, 60)), (3, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for stage in (pipeline.exact_dedup, pipeline.simhash_dedup):
+        got = {(r.doc_id, r.text) for r in stage(spark, docs, "").collect()}
+        assert got == {rows[0], rows[2], rows[3]}
