@@ -202,11 +202,55 @@ def test_dropout_varies_and_is_lossless(spark, docs):
 def test_both_agendas_agree():
     c = subwords.Codec(subwords.default_path(), 0.2, 3)
     r = random.Random(4)
-    for _ in range(200):
-        a, b = ("".join(r.choice("transformation") for _ in range(r.randrange(1, 20))) for _ in range(2))
-        long = a + "\x01" * 60 + b  # over 48 symbols: the heap; control signs take no part in merges
-        assert len(c._unit(long, 0)) > 0
-        assert b"".join(c.table[i] for i in np.frombuffer(c._unit(long, 0), "<u4")).decode() == " " + long
+    for base in range(200):
+        word = "".join(r.choice("transformation") for _ in range(r.randrange(49, 70)))
+        assert c._unit(word, base) == c._ids(c._merged([*("▁" + word)], base))  # by heap and by list
+        long = word + "\x01" * 60 + word
+        assert b"".join(c.table[i] for i in np.frombuffer(c._unit(long, base), "<u4")).decode() == " " + long
+
+
+def brute_subwords(text, key, rate, seed):
+    """Every unit by itself: the best candidate that has not been skipped, until there is none."""
+    import re
+
+    import sentencepiece
+    import xxhash
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=subwords.default_path())
+    rank = {sp.id_to_piece(i): (-sp.get_score(i), i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    out, mask = [], (1 << 64) - 1
+    mix = lambda x: int(common.mix64(np.array([x & mask], np.uint64))[0])
+    doc = xxhash.xxh64_intdigest(str(key), seed)
+    for place, unit in enumerate(re.findall(" *[^ ]+| +", " " + text) if text else []):
+        base, parts, skipped, step = mix(doc + place * 0x9E3779B97F4A7C15), ["▁" if c == " " else c if c != "▁" else None for c in unit], set(), 0
+        while True:
+            found = [(rank[p + q], i) for i, (p, q) in enumerate(zip(parts, parts[1:])) if p and q and p + q in rank and (i, p, q) not in skipped]
+            if not found:
+                break
+            _, i = min(found)
+            draw = mix(base + (step // 2 + 1) * 0xD6E8FEB86659FD93) >> (32 * (step % 2)) & 0xFFFFFFFF
+            step += 1
+            if draw < int(rate * 2**32):
+                skipped.add((i, parts[i], parts[i + 1]))
+            else:
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                skipped = {(j if j < i else j - 1, p, q) for j, p, q in skipped if j not in (i - 1, i, i + 1)}
+        for p in parts:
+            out += [rank[p][1]] if p in rank else [sp.piece_to_id(f"<0x{b:02X}>") for b in (p or "▁").encode()]
+    return np.array(out, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.6])
+def test_dropout_against_brute_force(rate, monkeypatch):
+    r = random.Random(5)
+    words = ["".join(r.choice("etaoinsrhl") for _ in range(r.randrange(1, 14))) for _ in range(40)]
+    texts = [*SUB, "x▁y é漢😀 a\nb\tc", "word " * 30, "one  two   ", *(" ".join(r.choices(words, k=30)) for _ in range(20)), "w" * 39 + " " + "transformation" * 3, SUB[-1], SUB[-1]]
+    c = subwords.Codec(subwords.default_path(), rate, 42)
+    want = [brute_subwords(t, i % 30, rate, 42) for i, t in enumerate(texts)]
+    assert c.encode_all(texts, [i % 30 for i in range(len(texts))]) == want
+    monkeypatch.setattr(subwords, "STATES", 5)  # forgetting and small lots change nothing
+    monkeypatch.setattr(subwords, "TOGETHER", 50)
+    assert c.encode_all(texts, [i % 30 for i in range(len(texts))]) == want
 
 
 def test_each_occurrence_is_segmented_by_itself():
