@@ -24,9 +24,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset a temporary one, in local mode only,
+    where all of Spark is on this machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="groundwork-")
         atexit.register(shutil.rmtree, at[7:], True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -45,6 +48,26 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", _ARROW_ROWS)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for what runs in the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, had)
+
+
+def partitions(df: DataFrame, each: int) -> int:
+    """As many partitions as shuffles have, and more where df's files, by Catalyst's estimate, hold over `each` bytes for one."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(-(-size // each), 100_000)) if size < 1 << 60 else least
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
     """Shuffle files of what is written here go as soon as it is written."""
@@ -67,13 +90,11 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by written(), and let Spark drop the shuffle files nothing refers to any more."""
+    """Delete tables made by written() that nothing reads any more."""
     for df in tables:
         path = getattr(df, "_groundwork_path", None)
         if path:
             delete(df.sparkSession, path)
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def delete(spark: SparkSession, path: str) -> None:

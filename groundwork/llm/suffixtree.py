@@ -1,18 +1,20 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The root is the add-one distribution of single tokens. A context of d words is a state if it came LEAST
-times or more in training, its suffix of d - 1 words is a state, and a divergence test holds: the mean
-leave-one-out log ratio of its smoothed next-symbol distribution to its suffix's is EPSILON nats or more.
-LEAST does not grow with the table, so what the tree holds does.
+The root is the add-one distribution of single tokens. A context of d words is looked at if it came LEAST
+times or more in training, its suffix of d - 1 words is a state, and its first d - 1 words were looked at
+themselves. It is a state if a divergence test holds: the mean leave-one-out log ratio of its smoothed
+next-symbol distribution to its suffix's (whose logarithms are rounded to 1 / GRID there) is EPSILON nats or
+more. LEAST does not grow with the table, so what the tree holds does.
 A state's distribution is smoothed towards its suffix's, (c + m p) / (n + m) with m = n ** SHARE. A token is
-scored in the state of its longest suffix.
+scored in the state of its longest suffix, of DEPTH words at most.
 
 Nothing of the tree is held in one place. Texts become blocks of some hundred thousand tokens, written once.
 For each depth a block asks about its distinct (context, next) pairs with what it counted of them; requests
 meet by context in bounded buckets, are summed over all blocks, and each block gets its answers back: the sums
-and which contexts are states, from which it works out the probabilities itself. A
-context that came HOT times or more is dealt by its next symbols as well; with so many occurrences its own
-distribution can't fall behind its suffix's by more than m / n, so it is a state without a test.
+and which contexts are states, from which it works out the probabilities itself. Words are numbered by
+frequency on the way, so that pairs, sorted by them, travel as small differences: some three bytes a pair.
+A context that came HOT times or more is dealt by its next symbols too; the parts of its test are summed and
+the outcome goes to the blocks that asked.
 """
 
 from __future__ import annotations
@@ -29,18 +31,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DEPTH, LEAST, EPSILON, SHARE = 2, 24, 0.01, 0.7
-P_LEAST = 0  # share of all places a context must come in: none
-#: Tokens in a block; occurrences from which a context is split; tokens for each bucket of requests.
+DEPTH, LEAST, EPSILON, SHARE, GRID = 3, 24, 0.01, 0.7, 256
+#: Tokens in a block; occurrences from which a context is dealt by its next symbols; tokens for each bucket of requests.
 BLOCK, HOT, BUCKET = 800_000, 1_000_000, 2_500_000
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds white space
 
-_REPLY = "block long, bucket int, level int, reply binary, n long, v long"
+_REPLY = "block long, bucket int, level int, reply binary, n long, v long, gain double"
 
 
 def _blocks(docs: DataFrame, id_type: str) -> DataFrame:
-    """Blocks of whole documents: ids, lengths with the end token (u4), train flags (u1), distinct word hashes
-    (u8), tokens as numbers of these (u4)."""
+    """Blocks of whole documents: ids, lengths with the end token (u4), train flags (u1), distinct words by
+    ascending hash (u8), tokens as numbers of these (u4, octet by octet)."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -53,9 +54,12 @@ def _blocks(docs: DataFrame, id_type: str) -> DataFrame:
 
         def flush():
             nonlocal made, ids, lengths, train, tokens, n
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            hashes = common.mix64(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+            order = np.argsort(hashes, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
             row = [pa.array([(part << 32) + made], pa.int64()), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type))]
-            row += [pa.array([x.tobytes()], pa.binary()) for x in (np.array(lengths, np.uint32), np.array(train, np.uint8), hashes, np.concatenate(tokens))]
+            row += [pa.array([x.tobytes()], pa.binary()) for x in (np.array(lengths, np.uint32), np.array(train, np.uint8), hashes[order], _octets(place[np.concatenate(tokens)]))]
             made, ids, lengths, train, tokens, n = made + 1, [], [], [], [], 0
             words.clear()
             words[b" "]
@@ -83,11 +87,20 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _octets(x: np.ndarray) -> np.ndarray:
+    """First octets of all numbers, then second ones, and so on: alike ones come together."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T)
+
+
+def _numbers(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Columns one after the other; numbers of 4 bytes, which repeat a lot, are compressed, octet by octet."""
     out = []
     for x in arrays:
-        data = zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T.tobytes(), 1) if x.dtype.itemsize == 4 else x.tobytes()
+        data = zlib.compress(_octets(x).tobytes(), 1)
         out += [np.uint64(len(data)).tobytes(), data]
     return b"".join(out)
 
@@ -96,32 +109,40 @@ def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
     out, at = [], 0
     for kind in kinds:
         n = int(np.frombuffer(data, np.uint64, 1, at)[0])
-        part = data[at + 8 : at + 8 + n]
-        if np.dtype(kind).itemsize == 4:
-            part = np.frombuffer(zlib.decompress(part), np.uint8).reshape(4, -1).T.tobytes()
-        out.append(np.frombuffer(part, kind))
+        out.append(_numbers(zlib.decompress(data[at + 8 : at + 8 + n]), kind))
         at += 8 + n
     return out
 
 
-def _short(keys: np.ndarray) -> np.ndarray:
-    """The low 48 bits of keys, 6 bytes each: enough to tell the next symbols of one context apart."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+def _steps(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences to the number before; runs begin anew at starts."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    out[starts] = x[starts]
+    return out
+
 
+def _walked(steps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The inverse of _steps for runs of these lengths."""
+    x, starts = np.cumsum(steps), np.cumsum(lengths) - lengths
+    return x - np.repeat(x[starts] - steps[starts], lengths) if len(x) else x
 
-def _long(octets: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(octets) // 6, 8), np.uint8)
-    out[:, :6] = octets.reshape(-1, 6)
-    return out.view("<u8").ravel()
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class _Walk:
-    """A block with the answers so far: per token its log probability, and the contexts to ask about next."""
+    """A block with the answers so far: per token its log probability, and the contexts to ask about next.
+
+    Contexts have numbers in the block, `ctx` at each token; `names` are the same in all blocks: a word's
+    number, or the hash of a chain of them. `times` says how often each came in training."""
 
     def __init__(self, row: dict):
         self.lengths, self.train = np.frombuffer(row["lengths"], np.uint32).astype(np.int64), np.frombuffer(row["train"], np.uint8)
-        self.words, self.tokens = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], np.uint32)
-        self.mixed = common.mix64(self.words)
+        self.words, self.tokens = np.frombuffer(row["words"], np.uint64), _numbers(row["tokens"], np.uint32).astype(np.int64)
         self.begin = np.cumsum(self.lengths) - self.lengths
         self.first = np.zeros(len(self.tokens), bool)
         self.first[self.begin] = True
@@ -129,129 +150,179 @@ class _Walk:
 
     # Depth 0: words.
 
-    def words_asked(self, buckets: int):
+    def words_asked(self, buckets: int) -> dict[int, bytes]:
         n = np.bincount(self.tokens[self.learn], minlength=len(self.words)).astype(np.uint32)
-        order = np.argsort(self.mixed, kind="stable")
-        at = _bucket(self.mixed[order], buckets)
-        cuts = np.searchsorted(at, np.arange(buckets + 1))
-        return order, cuts, lambda lo, hi: _pack(self.mixed[order[lo:hi]], n[order[lo:hi]])
-
-    def words_told(self, replies: dict[int, bytes], buckets: int, total: int, distinct: int) -> None:
-        order, cuts, _ = self.words_asked(buckets)
-        count = np.zeros(len(self.words), np.int64)
-        for b, data in replies.items():
-            count[order[cuts[b] : cuts[b + 1]]] = np.frombuffer(data, np.uint32)
-        self.count = count[self.tokens]
+        cuts = np.searchsorted(_bucket(self.words, buckets), np.arange(buckets + 1)).tolist()
+        return {b: _pack(self.words[lo:hi], n[lo:hi]) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi}
+
+    def words_told(self, replies: dict[int, bytes], total: int, distinct: int) -> None:
+        got = [_unpack(replies[b], np.uint64, np.uint64) for b in sorted(replies)]
+        number, count = (np.concatenate([x[i] for x in got]).astype(np.int64) for i in (0, 1))
+        order = np.argsort(number)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.token, self.number = place[self.tokens], number[order]
+        self.names, self.times = self.number.astype(np.uint64), count[order]
+        self.count = self.times[self.token]
         self.log = np.log((self.count + 1) / (total + distinct + 1))
         self.base = np.add.reduceat(self.log, self.begin)
-        before = np.zeros(len(self.tokens), np.int64)
-        before[1:] = self.count[:-1]
-        before[self.first] = 0
-        self.context = np.zeros(len(self.tokens), np.uint64)
-        self.context[1:] = self.mixed[self.tokens[:-1]]
-        self.occurred = before  # of the context, in training
-        self.asked = before >= LEAST
+        self.ctx = np.concatenate([[-1], self.token[:-1]])
+        self.ctx[self.first] = -1
+        self.asked = (self.ctx >= 0) & (self.times[self.ctx] >= LEAST)
 
     # Depth d: (context, next) pairs.
 
-    def pairs(self, buckets: int):
+    def pairs(self, buckets: int) -> None:
+        """Number the distinct pairs of what is asked, by context and next word, and their runs, by bucket."""
         self.at = np.flatnonzero(self.asked)
-        nexts = self.mixed[self.tokens[self.at]]
-        with np.errstate(over="ignore"):
-            key = common.mix64(self.context[self.at] * np.uint64(0x9E3779B97F4A7C15) + nexts)
-        u, one, self.inverse = np.unique(key, return_index=True, return_inverse=True)
-        held, n = self.context[self.at[one]], self.occurred[self.at[one]]
-        salts = -(-n // HOT)
-        salt = (nexts[one] % np.maximum(salts, 1).astype(np.uint64)).astype(np.uint64)
-        group = np.where(salt > 0, held ^ common.mix64(salt), held)
-        count = np.bincount(self.inverse[self.learn[self.at]], minlength=len(u)).astype(np.uint32)
-        order = np.argsort(group, kind="stable")
-        self.keys = key
-        cuts = np.searchsorted(_bucket(group[order], buckets), np.arange(buckets + 1))
-        parent = self.log[self.at[one]].astype(np.float32)
-
-        def payload(lo, hi):
-            own = order[lo:hi]
-            runs, at, length = np.unique(group[own], return_index=True, return_counts=True)
-            return _pack(runs, n[own][at].astype(np.uint64), length.astype(np.uint32), _short(u[own]), count[own], parent[own])
-
-        return order, cuts, payload
-
-    def pairs_told(self, replies: dict[int, bytes], buckets: int) -> None:
-        order, cuts, _ = self.pairs(buckets)
-        states, count = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
-        for b, data in replies.items():
-            flag, c = _unpack(data, np.float32, np.uint32)
-            own = order[cuts[b] : cuts[b + 1]]
-            states[own], count[own] = ~np.isnan(flag), c
-        state, counted = self.at[states[self.inverse]], count[self.inverse]
-        n = self.occurred[state].astype(np.float64)
+        n, wide = len(self.at), max(1, len(self.number).bit_length())
+        deep, places = len(self.times).bit_length(), n.bit_length()
+        pair = (self.ctx[self.at] << wide) | self.token[self.at]
+        if deep + wide + places <= 63:
+            pair = np.sort((pair << places) | np.arange(n))
+            order, pair = pair & ((1 << places) - 1), pair >> places
+        else:
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+        starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if n else np.zeros(0, np.int64)
+        size = np.diff(np.append(starts, n))
+        self.inverse = np.empty(n, np.int64)
+        self.inverse[order] = np.repeat(np.arange(len(starts)), size)
+        self.pair_ctx, self.pair_next = pair[starts] >> wide, pair[starts] & ((1 << wide) - 1)
+        learned = np.concatenate([[0], np.cumsum(self.learn[self.at][order])])
+        self.own = (learned[starts + size] - learned[starts]).astype(np.uint64)
+        self.parent = np.round(self.log[self.at[order[starts]]] * GRID).astype(np.int16)
+        # Runs are contexts, those of hot ones parts by next word; `place` lists pairs by bucket and run.
+        salts = -(-self.times[self.pair_ctx] // HOT)
+        salt = np.zeros(len(starts), np.uint64)
+        hot = np.flatnonzero(salts > 1)
+        salt[hot] = common.mix64(self.number[self.pair_next[hot]].astype(np.uint64)) % salts[hot].astype(np.uint64)
+        by_run = np.lexsort((salt, self.pair_ctx)) if len(hot) else np.arange(len(starts))
+        c, t = self.pair_ctx[by_run], salt[by_run]
+        begin = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])])) if len(c) else np.zeros(0, np.int64)
+        run = np.diff(np.append(begin, len(c)))
+        bucket = _bucket(common.mix64(self.names[c[begin]] ^ common.mix64(t[begin])), buckets)
+        rows = np.argsort(bucket, kind="stable")
+        self.run_ctx, self.run_length, self.run_bucket = c[begin][rows], run[rows], bucket[rows]
+        self.place = by_run[_ranges(begin[rows], self.run_length)]
+
+    def pairs_asked(self, buckets: int) -> dict[int, bytes]:
+        self.pairs(buckets)
+        cuts = np.searchsorted(self.run_bucket, np.arange(buckets + 1)).tolist()
+        ends = np.concatenate([[0], np.cumsum(self.run_length)])
+        out = {}
+        for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            if lo < hi:
+                own, c, length = self.place[ends[lo] : ends[hi]], self.run_ctx[lo:hi], self.run_length[lo:hi]
+                starts = np.cumsum(length) - length
+                hot = np.flatnonzero(self.times[c] >= HOT)
+                next_ = self.number[self.pair_next[own]].astype(np.uint64)
+                out[b] = _pack(_steps(self.names[c], np.zeros(1, int)), length.astype(np.uint32), hot.astype(np.uint32), self.times[c[hot]].astype(np.uint64), _steps(next_, starts), self.own[own], _steps(self.parent[own], starts))
+        return out
+
+    def pairs_told(self, replies: dict[int, bytes], hot: set[int], buckets: int) -> None:
+        """hot: names of the hot contexts that are states."""
+        self.pairs(buckets)
+        got = [_unpack(replies[b], np.uint8, np.uint64) for b in sorted(replies)]
+        flag, told = (np.concatenate([x[i] for x in got] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        count = np.zeros(len(self.pair_ctx), np.int64)
+        count[self.place] = told.astype(np.int64)
+        state = np.zeros(len(self.times), bool)
+        state[self.run_ctx] = flag == 1
+        for c in self.run_ctx[flag == 2]:
+            state[c] = int(self.names[c]) in hot
+        scored = state[self.ctx[self.at]]
+        at = self.at[scored]
+        n = self.times[self.ctx[at]].astype(np.float64)
         m = n**SHARE
-        self.log[state] = np.log((counted[states[self.inverse]] + m * np.exp(self.log[state])) / (n + m))
-        held, is_state = np.zeros(len(self.tokens), np.int64), np.zeros(len(self.tokens), bool)
-        held[self.at], is_state[state] = counted, True
-        longer = np.zeros(len(self.tokens), np.uint64)
-        longer[self.at] = self.keys
-        self.occurred, self.context = np.concatenate([[0], held[:-1]]), np.concatenate([np.zeros(1, np.uint64), longer[:-1]])
-        self.occurred[self.first] = 0
-        self.asked = (self.occurred >= LEAST) & is_state
+        self.log[at] = np.log((count[self.inverse[scored]] + m * np.exp(self.log[at])) / (n + m))
+        pair = np.full(len(self.tokens), -1)
+        pair[self.at] = self.inverse
+        suffix = np.zeros(len(self.tokens), bool)
+        suffix[at] = True
+        with np.errstate(over="ignore"):
+            self.names = common.mix64(self.names[self.pair_ctx] * np.uint64(0x9E3779B97F4A7C15) + self.number[self.pair_next].astype(np.uint64))
+        self.times = count
+        self.ctx = np.concatenate([[-1], pair[:-1]])
+        self.ctx[self.first] = -1
+        self.asked = suffix & (self.ctx >= 0)
+        self.asked[self.asked] = count[self.ctx[self.asked]] >= LEAST
 
 
-def _sorted_out(table: pa.Table) -> tuple[list[int], list[bytes]]:
-    return table.column("block").to_pylist(), table.column("payload").to_pylist()
+def _answer(bucket: int, level: int, **what) -> dict:
+    return {"block": -1, "bucket": bucket, "level": level, "reply": None, "n": None, "v": None, "gain": None} | what
 
 
-def _merge_words(table: pa.Table, bucket: int) -> list[dict]:
-    blocks, data = _sorted_out(table)
-    parts = [_unpack(x, np.uint64, np.uint32) for x in data]
+def _merge_words(table: pa.Table, bucket: int, buckets: int) -> list[dict]:
+    """A reply has a number and a count for each word. Numbers follow frequency within a bucket."""
+    parts = [_unpack(x, np.uint64, np.uint32) for x in table.column("payload").to_pylist()]
     u, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(u)).astype(np.int64)
-    answer = np.split(np.minimum(total, 2**32 - 1).astype(np.uint32)[inverse], np.cumsum([len(p[0]) for p in parts])[:-1])
-    out = [{"block": b, "bucket": bucket, "level": 0, "reply": a.tobytes(), "n": None, "v": None} for b, a in zip(blocks, answer)]
-    return [*out, {"block": -1, "bucket": bucket, "level": 0, "reply": None, "n": int(total.sum()), "v": int((total > 0).sum())}]
+    total = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(u)).astype(np.uint64)
+    number = np.empty(len(u), np.uint64)
+    number[np.argsort(-total.astype(np.int64), kind="stable")] = np.arange(len(u), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
+    cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
+    answers = zip(table.column("block").to_pylist(), np.split(number[inverse], cuts), np.split(total[inverse], cuts))
+    out = [_answer(bucket, 0, block=b, reply=_pack(x, y)) for b, x, y in answers]
+    return [*out, _answer(bucket, 0, n=int(total.sum()), v=int((total > 0).sum()))]
 
 
 def _merge_pairs(table: pa.Table, bucket: int, level: int) -> list[dict]:
-    """A reply has two numbers a pair: NaN where its context is no state, else 0; and its sum."""
-    blocks, data = _sorted_out(table)
-    parts = [_unpack(x, np.uint64, np.uint64, np.uint32, np.uint8, np.uint32, np.float32) for x in data]
-    del data
-    sizes = [len(p[4]) for p in parts]
-    group = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
-    n = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
-    key, count, parent = _long(np.concatenate([p[3] for p in parts])), *(np.concatenate([p[i] for p in parts]) for i in (4, 5))
-    del parts
-    key ^= common.mix64(group)
-    u, one, inverse = np.unique(key, return_index=True, return_inverse=True)
-    del key
-    c = np.bincount(inverse, count, len(u))
-    p, n, group = np.exp(parent[one].astype(np.float64)), n[one].astype(np.float64), group[one]
-    m = n**SHARE
-    gain = np.where(c > 0, c * (np.log((np.maximum(c - 1, 0) + m * p) / np.maximum(n - 1 + m, 1)) - np.log(p)), 0)
-    names, of = np.unique(group, return_inverse=True)
-    mean = np.bincount(of, gain, len(names))[of] / n
-    flag = np.where((mean < EPSILON) & (n < HOT), np.float32(np.nan), np.float32(0))
-    cuts = np.cumsum(sizes)[:-1]
-    flags, counts = np.split(flag[inverse], cuts), np.split(np.minimum(c, 2**32 - 1).astype(np.uint32)[inverse], cuts)
-    return [{"block": b, "bucket": bucket, "level": level, "reply": _pack(x, y), "n": None, "v": None} for b, x, y in zip(blocks, flags, counts)]
-
-
-_ANSWERS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("level", pa.int32()), ("reply", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
-
-
-def _merger(level: int):
+    """A reply has for each run 1 if its context is a state, 2 if that is not known here, else 0; and for each
+    pair its sum. Parts of the test of hot contexts are rows of block -2: name, occurrences, gain."""
+    parts = [_unpack(x, np.uint64, np.uint32, np.uint32, np.uint64, np.uint64, np.uint64, np.int16) for x in table.column("payload").to_pylist()]
+    lengths = [p[1].astype(np.int64) for p in parts]
+    names, of = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+    n, hot = np.zeros(len(names)), np.zeros(len(names), bool)
+    at = 0
+    for p in parts:
+        mine = of[at + p[2].astype(np.int64)]
+        hot[mine], n[mine] = True, p[3]
+        at += len(p[1])
+    run = np.repeat(of, np.concatenate(lengths))
+    word = np.concatenate([_walked(p[4], x) for p, x in zip(parts, lengths)])
+    _, word = np.unique(word, return_inverse=True)
+    u, one, inverse = np.unique(run * (int(word.max()) + 1) + word, return_index=True, return_inverse=True)
+    c = np.bincount(inverse, np.concatenate([p[5] for p in parts]), len(u))
+    run, sizes = run[one], [len(p[4]) for p in parts]
+    p = np.exp(np.concatenate([_walked(p[6], x) for p, x in zip(parts, lengths)])[one] / GRID)
+    n = np.where(hot, n, np.bincount(run, c, len(names)))
+    m = n[run] ** SHARE
+    gain = np.where(c > 0, c * (np.log((np.maximum(c - 1, 0) + m * p) / np.maximum(n[run] - 1 + m, 1)) - np.log(p)), 0)
+    gain = np.bincount(run, gain, len(names))
+    flag = np.where(hot, 2, gain >= EPSILON * n).astype(np.uint8)
+    answers = zip(table.column("block").to_pylist(), np.split(flag[of], np.cumsum([len(x) for x in lengths])[:-1]), np.split(c.astype(np.uint64)[inverse], np.cumsum(sizes)[:-1]))
+    out = [_answer(bucket, level, block=b, reply=_pack(x, y)) for b, x, y in answers]
+    return out + [_answer(bucket, level, block=-2, n=int(names[i].view(np.int64)), v=int(n[i]), gain=float(gain[i])) for i in np.flatnonzero(hot)]
+
+
+_ANSWERS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("level", pa.int32()), ("reply", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("gain", pa.float64())])
+
+
+def _merger(level: int, buckets: int):
     def merge(table):
         bucket = table.column("bucket")[0].as_py()
-        return pa.Table.from_pylist(_merge_words(table, bucket) if level == 0 else _merge_pairs(table, bucket, level), _ANSWERS)
+        return pa.Table.from_pylist(_merge_words(table, bucket, buckets) if level == 0 else _merge_pairs(table, bucket, level), _ANSWERS)
 
     return merge
 
 
+def _hot_states(told: DataFrame) -> DataFrame:
+    """For each block the hot contexts that are states, of those dealt over buckets it asked: rows of bucket -1.
+
+    One row for each part of a hot context, which holds HOT occurrences or so: few, whatever the corpus."""
+    parts = told.filter("block = -2").select("bucket", "level", "n", "v", "gain")
+    states = parts.groupBy("level", "n").agg(F.sum("gain").alias("gain"), F.max("v").alias("v")).filter(F.col("gain") >= EPSILON * F.col("v"))
+    where = parts.select("bucket", "level", "n").join(states.select("level", "n"), ["level", "n"])
+    asked = told.filter("block >= 0 and level > 0").select("block", "bucket", "level")
+    # The parts of a context lie in several buckets that a block asked: it hears of it once.
+    return where.join(asked, ["bucket", "level"]).select("block", F.lit(-1).alias("bucket"), "level", F.lit(None).cast("binary").alias("reply"), "n").distinct()
+
+
 def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32(id) mod 7 is 2 are held out; all others are learned from. Null texts are empty and are
-    scored as one end token; null ids are not held out. With no training row all counts are 0 and every
+    scored as one end token; null ids are not held out. Repeated rows are learned from and scored each. With no training row all counts are 0 and every
     probability is that of the root. Extra columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -259,34 +330,36 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     held = F.coalesce(common.crc32_of_id(id_col) % 7 == 2, F.lit(False))
     rows = docs.select(docs[f"`{id_col}`"], docs[f"`{text_col}`"].cast("string").alias("text"), (~held).cast("int").alias("train"))
     # Bucketed by block, so that blocks stay where they are while answers come to them.
-    table = f"lm_blocks_{uuid.uuid4().hex}"
-    made = _blocks(rows, kind).write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortBy("block")
-    made.option("path", common.fresh(spark, "lm-blocks")).option("compression", "zstd").saveAsTable(table)
+    table, path = f"lm_blocks_{uuid.uuid4().hex}", common.fresh(spark, "lm-blocks")
+    spread = common.partitions(rows, 64 << 20)
+    made = _blocks(rows, kind).write.format("parquet").bucketBy(spread, "block").sortBy("block")
+    made.option("path", path).option("compression", "zstd").saveAsTable(table)
     blocks = spark.table(table)
     size = blocks.agg(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // BUCKET))
+    buckets = max(spread, -(-int(size) // BUCKET))
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 
-    def requests(row: dict, replies: list[dict], level: int, totals) -> _Walk | pa.Table:
+    def walked(row: dict, replies: list[dict], levels: int, totals) -> _Walk:
         walk = _Walk(row)
-        for d in range(level):
-            of = {r["bucket"]: r["reply"] for r in replies if r["level"] == d}
-            walk.words_told(of, buckets, *totals) if d == 0 else walk.pairs_told(of, buckets)
+        for d in range(levels):
+            of = {r["bucket"]: r["reply"] for r in replies if r["level"] == d and r["bucket"] >= 0}
+            hot = {r["n"] & 0xFFFFFFFFFFFFFFFF for r in replies if r["level"] == d and r["bucket"] < 0}
+            walk.words_told(of, *totals) if d == 0 else walk.pairs_told(of, hot, buckets)
         return walk
 
     def asked(walk: _Walk, block: int, level: int) -> pa.Table:
-        _, cuts, payload = walk.words_asked(buckets) if level == 0 else walk.pairs(buckets)
-        own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        return pa.table({"block": [block] * len(own), "bucket": own, "payload": [payload(cuts[b], cuts[b + 1]) for b in own]}, schema)
+        got = walk.words_asked(buckets) if level == 0 else walk.pairs_asked(buckets)
+        return pa.table({"block": [block] * len(got), "bucket": list(got), "payload": list(got.values())}, schema)
 
-    def together(replies: DataFrame, function, out: str) -> DataFrame:
-        slim = replies.filter("block >= 0").select("block", "bucket", "level", "reply")
-        return blocks.groupBy("block").cogroup(slim.groupBy("block")).applyInArrow(lambda a, b: function(a.to_pylist()[0], b.to_pylist()), out)
+    def together(columns: list[str], replies: DataFrame, function, out: str) -> DataFrame:
+        slim = replies.filter("block >= 0").select("block", "bucket", "level", "reply", "n")
+        slim = slim.unionByName(_hot_states(replies))
+        return blocks.select("block", *columns).groupBy("block").cogroup(slim.groupBy("block")).applyInArrow(lambda a, b: function(a.to_pylist()[0], b.to_pylist()), out)
 
     def next_requests(level: int, totals):
-        return lambda row, replies: asked(requests(row, replies, level, totals), row["block"], level)
+        return lambda row, replies: asked(walked(row, replies, level, totals), row["block"], level)
 
-    told, totals = None, (0, 0)
+    told, totals, answers = None, (0, 0), []
     for level in range(depth + 1):
         if level == 0:
 
@@ -296,25 +369,29 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
                         row = batch.slice(i, 1).to_pylist()[0]
                         yield from asked(_Walk(row), row["block"], 0).to_batches()
 
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
             sent = blocks.mapInArrow(first, "block long, bucket int, payload binary")
         else:
-            sent = together(told, next_requests(level, totals), "block long, bucket int, payload binary")
+            sent = together(["lengths", "train", "words", "tokens"], told, next_requests(level, totals), "block long, bucket int, payload binary")
 
-        new = common.written(sent.groupBy("bucket").applyInArrow(_merger(level), _REPLY), f"lm-replies-{level}")
-        told = new if told is None else told.unionByName(new)
+        with common.batches_of(spark, 4):  # of blocks
+            answers.append(common.written(sent.groupBy("bucket").applyInArrow(_merger(level, buckets), _REPLY), f"lm-replies-{level}"))
+        told = answers[0] if told is None else told.unionByName(answers[-1])
         if level == 0:
-            got = new.filter("block < 0").agg(F.sum("n"), F.sum("v")).first()
+            got = told.filter("block = -1").agg(F.sum("n"), F.sum("v")).first()
             totals = (got[0] or 0, got[1] or 0)
 
     out_schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def final(row, replies):
-        walk = requests(row, replies, depth + 1, totals)
+        walk = walked(row, replies, depth + 1, totals)
         ten = np.log(10)
         return pa.table({
             id_col: row["ids"], "held_out": ~walk.train.astype(bool), "n_tokens": walk.lengths, "n_known": np.add.reduceat((walk.count > 0).astype(np.int64), walk.begin),
             "train_tokens": np.full(len(walk.lengths), totals[0], np.int64), "base_score": walk.base / ten, "score": np.add.reduceat(walk.log, walk.begin) / ten,
         })
 
-    return together(told, final, out_schema)
+    out = common.written(together(["ids", "lengths", "train", "words", "tokens"], told, final, out_schema), "lm-scores")
+    spark.sql(f"DROP TABLE {table}")
+    common.delete(spark, path)
+    common.dropped(*answers)
+    return out
