@@ -307,7 +307,7 @@ def _merger(level: int, buckets: int):
 
 
 def _hot_states(told: DataFrame) -> DataFrame:
-    """For each block the hot contexts that are states, of those dealt over buckets it asked: rows of bucket -1.
+    """For each block the hot contexts of a level that are states, of those in buckets it asked: rows of bucket -1.
 
     One row for each part of a hot context, which holds HOT occurrences or so: few, whatever the corpus."""
     parts = told.filter("block = -2").select("bucket", "level", "n", "v", "gain")
@@ -315,7 +315,7 @@ def _hot_states(told: DataFrame) -> DataFrame:
     where = parts.select("bucket", "level", "n").join(states.select("level", "n"), ["level", "n"])
     asked = told.filter("block >= 0 and level > 0").select("block", "bucket", "level")
     # The parts of a context lie in several buckets that a block asked: it hears of it once.
-    return where.join(asked, ["bucket", "level"]).select("block", F.lit(-1).alias("bucket"), "level", F.lit(None).cast("binary").alias("reply"), "n").distinct()
+    return where.join(asked, ["bucket", "level"]).select("block", F.lit(-1).alias("bucket"), "level", "n").distinct().select("*", F.lit(None).cast("binary").alias("reply"), F.lit(None).cast("long").alias("v"), F.lit(None).cast("double").alias("gain")).select("block", "bucket", "level", "reply", "n", "v", "gain")
 
 
 def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,12 +329,19 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     kind = dict(docs.dtypes)[id_col]
     held = F.coalesce(common.crc32_of_id(id_col) % 7 == 2, F.lit(False))
     rows = docs.select(docs[f"`{id_col}`"], docs[f"`{text_col}`"].cast("string").alias("text"), (~held).cast("int").alias("train"))
-    # Bucketed by block, so that blocks stay where they are while answers come to them.
-    table, path = f"lm_blocks_{uuid.uuid4().hex}", common.fresh(spark, "lm-blocks")
     spread = common.partitions(rows, 64 << 20)
-    made = _blocks(rows, kind).write.format("parquet").bucketBy(spread, "block").sortBy("block")
-    made.option("path", path).option("compression", "zstd").saveAsTable(table)
-    blocks = spark.table(table)
+    tables: list[tuple[str, str]] = []
+
+    def kept(df: DataFrame, after: tuple[str, str] | None = None) -> DataFrame:
+        """df in buckets by block, appended to a table if given: blocks and their answers stay where they are."""
+        name, path = after or (f"lm_blocks_{uuid.uuid4().hex}", common.fresh(spark, "lm-blocks"))
+        with common.shuffles_dropped(spark):
+            df.write.format("parquet").bucketBy(spread, "block").option("path", path).option("compression", "zstd").mode("append").saveAsTable(name)
+        if not after:
+            tables.append((name, path))
+        return spark.table(name)
+
+    blocks = kept(_blocks(rows, kind))
     size = blocks.agg(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0
     buckets = max(spread, -(-int(size) // BUCKET))
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -352,14 +359,13 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
         return pa.table({"block": [block] * len(got), "bucket": list(got), "payload": list(got.values())}, schema)
 
     def together(columns: list[str], replies: DataFrame, function, out: str) -> DataFrame:
-        slim = replies.filter("block >= 0").select("block", "bucket", "level", "reply", "n")
-        slim = slim.unionByName(_hot_states(replies))
-        return blocks.select("block", *columns).groupBy("block").cogroup(slim.groupBy("block")).applyInArrow(lambda a, b: function(a.to_pylist()[0], b.to_pylist()), out)
+        own = replies.filter("block >= 0").select("block", "bucket", "level", "reply", "n")
+        return blocks.select("block", *columns).groupBy("block").cogroup(own.groupBy("block")).applyInArrow(lambda a, b: function(a.to_pylist()[0], b.to_pylist()), out)
 
     def next_requests(level: int, totals):
         return lambda row, replies: asked(walked(row, replies, level, totals), row["block"], level)
 
-    told, totals, answers = None, (0, 0), []
+    told, totals, rest = None, (0, 0), None
     for level in range(depth + 1):
         if level == 0:
 
@@ -374,11 +380,13 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
             sent = together(["lengths", "train", "words", "tokens"], told, next_requests(level, totals), "block long, bucket int, payload binary")
 
         with common.batches_of(spark, 4):  # of blocks
-            answers.append(common.written(sent.groupBy("bucket").applyInArrow(_merger(level, buckets), _REPLY), f"lm-replies-{level}"))
-        told = answers[0] if told is None else told.unionByName(answers[-1])
+            told = kept(sent.groupBy("bucket").applyInArrow(_merger(level, buckets), _REPLY).repartition(spread, "block"), rest)
+        rest = tables[1]
         if level == 0:
             got = told.filter("block = -1").agg(F.sum("n"), F.sum("v")).first()
             totals = (got[0] or 0, got[1] or 0)
+        if not told.filter(f"block = -2 and level = {level}").isEmpty():
+            told = kept(_hot_states(told.filter(f"level = {level}")).repartition(spread, "block"), rest)
 
     out_schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -391,7 +399,7 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
         })
 
     out = common.written(together(["ids", "lengths", "train", "words", "tokens"], told, final, out_schema), "lm-scores")
-    spark.sql(f"DROP TABLE {table}")
-    common.delete(spark, path)
-    common.dropped(*answers)
+    for name, path in tables:
+        spark.sql(f"DROP TABLE {name}")
+        common.delete(spark, path)
     return out

@@ -47,29 +47,34 @@ def test_bounded_cache_forgets():
 # Packing
 
 
-def test_plan_is_best_fit_decreasing():
-    rng = np.random.default_rng(0)
-    lengths = rng.integers(1, 101, 400).tolist() + [100] * 5
-    gaps = []  # plain best fit, longest first
+def best_fit_decreasing(lengths, capacity):
+    gaps: list = []
     for x in sorted(lengths, reverse=True):
         best = min((g for g in gaps if g >= x), default=None)
         if best is None:
-            gaps.append(100 - x)
+            gaps.append(capacity - x)
         else:
             gaps[gaps.index(best)] = best - x
-    counts = {x: lengths.count(x) for x in {*lengths}}
-    held = {}
-    for length, lo, hi, first, offset in packing.plan(counts, 100):
-        for s in range(first, first + hi - lo):
-            held.setdefault(s, []).append((offset, length))
-    assert len(held) == len(gaps)
-    for parts in held.values():
-        end = 0
-        for offset, length in sorted(parts):
-            assert offset == end
-            end += length
-        assert end <= 100
-    assert sum(len(p) for p in held.values()) == len(lengths)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("rows_each", [packing.RANGE, 90])
+def test_packing_lengths(spark, rows_each):
+    rng = np.random.default_rng(0)
+    for lengths in (rng.integers(1, 101, 400).tolist() + [100] * 5, [1] * 250, [34] * 50, rng.integers(2, 20, 300).tolist()):
+        df = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long")
+        got = packing.pack_lengths(df, capacity=100, rows_each=rows_each).collect()
+        assert sorted((r.pid, r.length) for r in got) == list(enumerate(lengths))
+        held = {}
+        for r in got:
+            held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for parts in held.values():
+            end = 0
+            for offset, length in sorted(parts):
+                assert offset == end
+                end += length
+            assert end <= 100
+        assert len(held) <= 1.02 * best_fit_decreasing(lengths, 100) + 1
 
 
 def test_packing_holds_every_piece(spark, docs, tokenizer):
