@@ -129,16 +129,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def joined_on_hot(left: DataFrame, groups: DataFrame, key: str, size: str, share: int = 100) -> DataFrame:
+def joined_on_hot(left: DataFrame, groups: DataFrame, key: str, size: str, share: int = 10_000) -> DataFrame:
     """left joined to groups (one row per key, its row count in `size`) on key, safe for hot keys.
 
     A key that holds over 1/share of all rows is hot. There are fewer than `share` such keys whatever the
-    input, so that side is broadcast; all other keys meet in a shuffle in which none can dominate.
+    input, of a short row each, so that side is broadcast; all other keys meet in a shuffle in which none can
+    dominate, and which Spark splits further where it finds a long partition.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
     hot = groups.filter(F.col(size) * share > total)
     cold = groups.filter(F.col(size) * share <= total)
-    if total < 10_000:
+    if total < 10_000 or hot.isEmpty():
         return left.join(groups, key)
     near = left.join(F.broadcast(hot), key)
     far = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)

@@ -124,16 +124,28 @@ def write_shard(out, keys: list, ids: list[bytes], width: int) -> None:
 
 
 class Shard:
-    """Keyed access to one shard: the index is read once, a document's ids with one positioned read."""
+    """Keyed access to one shard: a key costs a positioned read of its seed, one of its record and one of its ids.
+    all_records() reads the index whole, for those who want every document."""
 
     def __init__(self, folder: str, name: str):
         self.file = files.open_file(folder, name)
         magic, version, self.width, self.n, self.indexed, buckets, self.ids = HEADER.unpack(self.file.read_at(HEADER.size, 0))
         if magic != MAGIC or version != 1:
             raise ValueError(f"{name} is not a shard of token ids")
-        at = HEADER.size + self.ids * self.width
-        self.seeds = np.frombuffer(self.file.read_at(4 * buckets, at), "<i4")
-        self.records = np.frombuffer(self.file.read_at(RECORD.itemsize * self.n, at + 4 * buckets), RECORD)
+        self.buckets, self.seeds_at = buckets, HEADER.size + self.ids * self.width
+        self.records_at, self.seeds, self.records = self.seeds_at + 4 * buckets, None, None
+
+    def all_records(self) -> np.ndarray:
+        if self.records is None:
+            self.seeds = np.frombuffer(self.file.read_at(4 * self.buckets, self.seeds_at), "<i4")
+            self.records = np.frombuffer(self.file.read_at(RECORD.itemsize * self.n, self.records_at), RECORD)
+        return self.records
+
+    def _seed(self, bucket: int) -> int:
+        return int(self.seeds[bucket] if self.seeds is not None else np.frombuffer(self.file.read_at(4, self.seeds_at + 4 * bucket), "<i4")[0])
+
+    def _record(self, slot: int):
+        return self.records[slot] if self.records is not None else np.frombuffer(self.file.read_at(RECORD.itemsize, self.records_at + RECORD.itemsize * slot), RECORD)[0]
 
     def close(self) -> None:
         self.file.close()
@@ -147,31 +159,33 @@ class Shard:
         if not self.indexed:
             return None
         fp = common.mix64(np.array([key], np.int64).view(np.uint64))
-        seed = int(self.seeds[int(fp[0]) % len(self.seeds)])
+        seed = self._seed(int(fp[0]) % self.buckets)
         slot = -1 - seed if seed < 0 else int(_slot(fp, seed, self.indexed)[0])
-        if not 0 <= slot < self.indexed or self.records[slot]["fp"] != fp[0]:
-            return None
-        return self.records[slot]
+        record = self._record(slot) if 0 <= slot < self.indexed else None
+        return record if record is not None and record["fp"] == fp[0] else None
 
     def get(self, key: int) -> np.ndarray | None:
         record = self.find(key)
         return None if record is None else self.ids_at(record)
 
     def keys(self) -> list:
-        keys = unmix64(self.records["fp"]).view(np.int64).tolist()
-        return [None if f & NULL_KEY else k for k, f in zip(keys, self.records["flags"].tolist())]
+        records = self.all_records()
+        keys = unmix64(records["fp"]).view(np.int64).tolist()
+        return [None if f & NULL_KEY else k for k, f in zip(keys, records["flags"].tolist())]
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, width: int = 2, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode docs and write them in ascending id order as shards in `folder`; the manifest is returned and
     written as folder/manifest: part, shard_no, name, first_key, last_key, records, ids, base (ids before).
 
-    width 2 holds ids below 65536; a larger id raises. Repeated ids stay repeated, null ids come first.
+    width 2 holds ids below 65536; a larger id raises. Repeated ids stay repeated, null ids come first. Null and
+    empty texts have the end id alone; a text of any length is one record. An empty table gives an empty
+    manifest. Extra columns are ignored.
     """
     path, spark = tokenizer or tokens.default_path(), docs.sparkSession
     end = np.array([end_id], "<u4").tobytes()
     two = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = common.partitions(two, 64 << 20)
     ordered = two.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
 
     def run(batches):
@@ -203,9 +217,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], k) for i, k in enumerate(kinds)], list(names))
 
     shards = common.written(common.mapped(ordered, run, "part int, shard_no int, name string, first_key long, last_key long, records long, ids long"), "id-shards")
-    # One row for each shard of some million ids: a running sum over few rows.
-    base = F.sum("ids").over(Window.orderBy("part", "shard_no").rowsBetween(Window.unboundedPreceding, -1))
-    shards.withColumn("base", F.coalesce(base, F.lit(0))).write.parquet(f"{folder}/manifest")
+    # Sums within a task's shards, and over tasks, of which there is one row each.
+    sums, at = [], 0
+    for row in sorted(shards.groupBy("part").agg(F.sum("ids").alias("ids")).collect()):
+        sums.append((row["part"], at))
+        at += row["ids"]
+    before = F.sum("ids").over(Window.partitionBy("part").orderBy("shard_no").rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.broadcast(spark.createDataFrame(sums, "part int, start long"))
+    based = shards.join(starts, "part").withColumn("base", F.col("start") + F.coalesce(before, F.lit(0))).drop("start")
+    based.write.parquet(f"{folder}/manifest")
     return manifest(spark, folder)
 
 

@@ -6,6 +6,7 @@ probabilities (SLOTS x languages) has a fixed size and is broadcast; scoring is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,34 +27,31 @@ _LETTER = regex.compile(r"\p{L}")
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1], np.uint64)
 
 
-def grams(text: str) -> np.ndarray:
-    """Slots of all character n-grams of the lower-cased text; anything but letters counts as one blank."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if not len(codes):
-        return np.zeros(0, np.int64)
-    ascii_other = (codes < 128) & ~((codes >= 97) & (codes <= 122))
-    codes[ascii_other] = 32
-    codes = np.concatenate([[32], codes, [32]]).astype(np.uint64)
-    out = []
+def grams(text: str) -> Iterator[np.ndarray]:
+    """Slots of all character n-grams of the lower-cased text, some at a time; of ASCII signs all but letters
+    count as a blank, and a blank stands before and behind the text."""
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    if len(codes) < 3:
+        return
+    codes[(codes < 128) & ~((codes >= 97) & (codes <= 122))] = 32
     with np.errstate(over="ignore"):
-        for n in GRAMS:
-            if len(codes) < n:
-                continue
-            h = np.full(len(codes) - n + 1, n, np.uint64)
-            for i in range(n):
-                h = (h ^ codes[i : len(codes) - n + 1 + i]) * _PRIMES[i]
-                h ^= h >> np.uint64(29)
-            out.append((h & np.uint64(SLOTS - 1)).astype(np.int64))
-    return np.concatenate(out)
+        for at in range(0, len(codes), PIECE):
+            for n in GRAMS:
+                some = codes[at : at + PIECE + n - 1].astype(np.uint64)  # those that begin in this piece
+                h = np.full(max(len(some) - n + 1, 0), n, np.uint64)
+                for i in range(n):
+                    h = (h ^ some[i : i + len(h)]) * _PRIMES[i]
+                    h ^= h >> np.uint64(29)
+                yield (h & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 def slot_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """A text's sparse row: slots and how often each came, over the whole text, piece by piece."""
-    total = np.zeros(SLOTS, np.int64) if len(text) > PIECE else None
-    if total is None:
-        return np.unique(grams(text), return_counts=True)
-    for at in range(0, len(text), PIECE):
-        total += np.bincount(grams(text[at : at + PIECE]), minlength=SLOTS)
+    """A text's sparse row: slots and how often each came, over the whole text."""
+    if len(text) <= PIECE:
+        return np.unique(np.concatenate([*grams(text), np.zeros(0, np.int64)]), return_counts=True)
+    total = np.zeros(SLOTS, np.int64)
+    for some in grams(text):
+        total += np.bincount(some, minlength=SLOTS)
     held = np.flatnonzero(total)
     return held, total[held]
 
@@ -69,8 +67,8 @@ class Model:
         if not text or not self.languages or not _LETTER.search(text):
             return "und", 0.0
         total = self.prior.copy()
-        for at in range(0, len(text), PIECE):
-            rows = self.log_prob[grams(text[at : at + PIECE])]
+        for some in grams(text):
+            rows = self.log_prob[some]
             total += np.ones(len(rows), np.float32) @ rows
         best = int(total.argmax())
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
@@ -83,32 +81,30 @@ def _hashed_share(df: DataFrame, id_col: str, most: int) -> DataFrame:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", alpha: float = 0.1) -> Model:
-    """Learn from these rows; null texts and null languages are left out. Counts are summed in the workers:
-    each task sends one dense row of SLOTS counts for each language."""
+    """Learn from these rows; null texts and null languages are left out. Tasks sum what they read, Spark the
+    sums: at most SLOTS rows for each language come to the driver."""
 
     def count(batches):
-        total: dict[str, list] = {}
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 slots, n = slot_counts(text.as_py())
-                if lang not in total:
-                    total[lang] = [np.zeros(SLOTS, np.int64), 0]
-                total[lang][0][slots] += n
-                total[lang][1] += 1
-        if total:
-            yield pa.RecordBatch.from_pydict({"lang": list(total), "rows": [x[1] for x in total.values()], "counts": [x[0].tobytes() for x in total.values()]})
+                own = total.setdefault(lang, np.zeros(SLOTS + 1, np.int64))
+                own[slots] += n
+                own[SLOTS] += 1  # texts
+        for lang, own in total.items():
+            held = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), pa.array(held.astype(np.int32)), pa.array(own[held])], ["lang", "slot", "n"])
 
     two = common.only(labelled, lang_col, text_col).filter(f"`{lang_col}` is not null and `{text_col}` is not null")
-    merged: dict[str, list] = {}
-    for row in common.mapped(two.coalesce(8), count, "lang string, rows long, counts binary").toLocalIterator():
-        had = merged.setdefault(row["lang"], [np.zeros(SLOTS), 0])
-        had[0] += np.frombuffer(row["counts"], np.int64)
-        had[1] += row["rows"]
+    merged: dict[str, np.ndarray] = {}
+    for row in common.mapped(two, count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        merged.setdefault(row["lang"], np.zeros(SLOTS + 1))[row["slot"]] = row["n"]
     names = sorted(merged)
     if not names:
         return Model([], np.zeros((SLOTS, 0), np.float32), np.zeros(0))
-    table = np.stack([merged[x][0] for x in names], axis=1) + alpha
-    rows = np.array([merged[x][1] for x in names], float)
+    table = np.stack([merged[x][:SLOTS] for x in names], axis=1) + alpha
+    rows = np.array([merged[x][SLOTS] for x in names])
     return Model(names, np.log(table / table.sum(axis=0)).astype(np.float32), np.log(rows / rows.sum()))
 
 

@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_digest_index_dedup": exact.ORACLE, "op8_warc_chunks": warc.ORACLE}
+    return {"op1_pca_tiled_cosine": embeddings.ORACLE, "op5_digest_index_dedup": exact.ORACLE, "op8_warc_chunks": warc.ORACLE}

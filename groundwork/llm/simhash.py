@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = common.written(linked(groups, radius), "fp-links")
     comp = common.components(links)
     named = groups.join(comp, groups.fp == comp.node, "left").select("fp", "first_id", "n", F.coalesce("component", "fp").alias("c"))
-    least = named.groupBy("c").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("group_size"))
-    named = named.join(least, "c").select("fp", "component_id", "group_size", "n")
+    named = common.written(named, "fp-components")
+    least = named.groupBy("c").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("group_size"), F.count("*").alias("fps"))
+    named = common.joined_on_hot(named, common.written(least, "fp-least"), "c", "fps").select("fp", "component_id", "group_size", "n")
     out = common.joined_on_hot(fps, common.written(named, "fp-named"), "fp", "n")
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_size")

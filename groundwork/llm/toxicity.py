@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; all learnable texts together are the unlabelled population. A linear model over
-hashed word features is trained in numpy on the class-prior-corrected, non-negative risk: where the
+Confirmed toxic texts are the positives. The unlabelled population is the labelled rows as a whole, toxic ones
+among them, with their labels left aside: what the class prior is the share of. Both are bounded samples of
+labelled rows, MOST_POSITIVE and MOST_UNLABELLED. A linear model over hashed word features is trained in numpy on the class-prior-corrected, non-negative risk: where the
 estimated risk on negatives falls below zero, the step goes the other way.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Hash slots of the word features; positives and unlabelled texts learned from, at most about (by hash of the id).
+#: Hash slots of the word features; labelled rows learned from as positives and as unlabelled, at most about.
 SLOTS, MOST_POSITIVE, MOST_UNLABELLED = 1 << 18, 5_000, 15_000
 STEPS = 300
 
@@ -158,31 +159,33 @@ def _share(salt: str, n: int, most: int) -> Column:
 
 
 def _gather(texts: DataFrame) -> list:
-    """The sparse rows of a bounded number of texts."""
+    """(p, u, sparse row) of a bounded number of texts."""
 
     def run(batches):
         for batch in batches:
-            got = [features(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_pydict({"slots": [s.astype("<u4").tobytes() for s, _ in got], "x": [x.astype("<f4").tobytes() for _, x in got]})
+            got = [features(t.as_py()) for t in batch.column(2)]
+            made = [pa.array([s.astype("<u4").tobytes() for s, _ in got], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["p", "u", "slots", "x"])
 
-    rows = common.mapped(texts.select("text"), run, "slots binary, x binary").toLocalIterator()
-    return [(np.frombuffer(r["slots"], "<u4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(np.float64)) for r in rows]
+    rows = common.mapped(texts.select("p", "u", "text"), run, "p boolean, u boolean, slots binary, x binary").toLocalIterator()
+    return [(r["p"], r["u"], (np.frombuffer(r["slots"], "<u4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(np.float64))) for r in rows]
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
-    """Learn from rows whose crc32(doc_id) mod 5 is not 0: those that labels.toxic marks 1 are positive; all
-    of them together are the unlabelled population. The class prior is the share of toxic among the labelled
-    ones of these rows."""
+    """Learn from rows of the labels table whose crc32(doc_id) mod 5 is not 0: those that toxic marks 1 are
+    positive; all of them together, labels aside, are the unlabelled population, of which the class prior is the
+    share of toxic ones. Ids are chosen by hash, about most_positive and most_unlabelled of them."""
     texts = common.only(docs, "doc_id", "text").filter(F.col("text").isNotNull() & ~held_out())
-    marks = common.only(labels, "doc_id", "toxic").filter(F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = marks.agg(F.count("toxic"), F.sum((F.col("toxic") == 1).cast("long"))).first()
+    marks = common.only(labels, "doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
+    marks = marks.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    counts = marks.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
     if not counts[0] or not counts[1]:
         return train_nnpu([], [], 0.1)
     prior = min(max(counts[1] / counts[0], 0.001), 0.9)
-    # About most_positive ids, whatever the input: fit to broadcast, so that texts stay where they are.
-    chosen = marks.filter((F.col("toxic") == 1) & _share("positive", counts[1], most_positive)).select("doc_id")
-    positive = _gather(texts.join(F.broadcast(chosen), "doc_id", "left_semi"))
-    unlabelled = _gather(texts.filter(_share("unlabelled", texts.count(), most_unlabelled)))  # of all rows: the population the prior is of
+    # Two bounded lists of ids, whatever the input: fit to broadcast, so that texts stay where they are, in one pass.
+    chosen = marks.select("doc_id", (F.col("toxic") & _share("positive", counts[1], most_positive)).alias("p"), _share("unlabelled", counts[0], most_unlabelled).alias("u")).filter("p or u")
+    found = _gather(texts.join(F.broadcast(chosen), "doc_id"))
+    positive, unlabelled = [x for p, _, x in found if p], [x for _, u, x in found if u]
     return train_nnpu(positive, unlabelled, prior)
 
 
@@ -202,6 +205,7 @@ def predict(docs: DataFrame, model: Model, *keep: str, text_col: str = "text") -
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted. Null and empty texts get the score of no words.
-    Null ids count as not held out. Without any toxic label all scores are below 0.5."""
+    Null ids count as not held out. Without any toxic label all scores are below 0.5. Repeated rows are scored
+    each, and an empty table gives no rows. Extra columns are ignored."""
     out = predict(common.only(docs, "doc_id", "text"), train(docs, labels), "doc_id")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

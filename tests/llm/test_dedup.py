@@ -146,8 +146,10 @@ def brute_embeddings(rows, least=0.93):
                 if x @ y / np.sqrt((x @ x) * (y @ y)) >= least:
                     links.append((a, b))
                     n[a], n[b] = n[a] + 1, n[b] + 1
-    comp = components(range(len(rows)), links)
-    return sorted((rows[i][0], n[i], rows[c][0], i == c) for i, c in comp.items())
+    comp, least = components(range(len(rows)), links), {}
+    for i, c in comp.items():
+        least[c] = min(least.get(c, rows[i][0]), rows[i][0])
+    return sorted((rows[i][0], n[i], least[c], rows[i][0] == least[c]) for i, c in comp.items())
 
 
 def vectors():
@@ -167,12 +169,30 @@ def test_embeddings_against_brute_force(spark, tile):
     assert got == brute_embeddings(rows)
 
 
+def test_embeddings_of_repeated_ids(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, a, 1), (1, b, 1), (5, b, 1), (7, [1.0, 0.1], 1), (9, a, 2), (9, a, 2)]
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == brute_embeddings(rows) == [(1, 1, 1, True), (1, 1, 1, True), (5, 1, 1, False), (7, 1, 1, False), (9, 1, 9, True), (9, 1, 9, True)]
+
+
+def test_links_at_the_threshold_are_those_of_the_given_vectors(spark):
+    rng, rows = np.random.default_rng(1), []
+    for i in range(200):  # cosines a hair above and below 0.93
+        x, y = np.linalg.qr(rng.normal(size=(6, 2)))[0].T * rng.uniform(0.1, 1e3)
+        c = 0.93 + (1e-14 if i % 3 else -1e-14)
+        rows += [(2 * i, x.tolist(), i), (2 * i + 1, (c * x + np.sqrt(1 - c * c) * y).tolist(), i)]
+    rows += [(1000, [1e200, 1e200], 1000), (1001, [1e200, 1.01e200], 1000), (1002, [1e-300, 1e-300], 1000)]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {2 * i + k: int(i % 3 > 0) for i in range(200) for k in (0, 1)} | {1000: 2, 1001: 2, 1002: 2}
+
+
 def test_bounds_prune_but_keep_pairs():
     rng = np.random.default_rng(0)
     a = rng.normal(size=(400, 64)) * np.linspace(2, 0.1, 64)
     a[200:] = a[:200] + rng.normal(size=(200, 64)) * 0.05
     a /= np.linalg.norm(a, axis=1)[:, None]
-    i, j = embeddings.near_pairs(a, a, 0.93)
+    i, j = embeddings.verified(a, a, *embeddings.near_pairs(a, a, 0.93), 0.93)
     assert {*zip(i.tolist(), j.tolist())} == {*zip(*(x.tolist() for x in np.nonzero(a @ a.T >= 0.93)))}
 
 

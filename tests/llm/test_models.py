@@ -121,3 +121,63 @@ def test_null_ids_stay_where_nothing_else_does(spark):
     for stage in (pipeline.exact_dedup, pipeline.simhash_dedup):
         got = {(r.doc_id, r.text) for r in stage(spark, docs, "").collect()}
         assert got == {rows[0], rows[2], rows[3]}
+
+
+def test_language_against_plain_counts(spark, docs):
+    """Multinomial naive Bayes by hand: n-grams of the whole text, also where it is longer than a piece."""
+    import zlib
+
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()] + [(50 + i, "der die das " * 4000 if i % 2 else "the of and ñ " * 4000, "de" if i % 2 else "en") for i in range(6)]
+
+    def grams(text):
+        t = [32 if ord(c) < 128 and not c.isalpha() else ord(c) for c in f" {text.lower()} "]
+        for n in language.GRAMS if len(t) > 2 else ():
+            for i in range(len(t) - n + 1):
+                h = n
+                for k in range(n):
+                    h = ((h ^ t[i + k]) * int(language._PRIMES[k])) & 0xFFFFFFFFFFFFFFFF
+                    h ^= h >> 29
+                yield h % language.SLOTS
+
+    counts, texts = {}, {}
+    for i, t, lang in rows:
+        if lang and t is not None and (i is None or zlib.crc32(str(i).encode()) % 4 != 2):
+            texts[lang] = texts.get(lang, 0) + 1
+            for s in grams(t):
+                counts.setdefault(lang, {}).setdefault(s, 0)
+                counts[lang][s] += 1
+    got = {(r.doc_id, r.lang_pred, round(r.score, 3)) for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    want = set()
+    for i, t, _ in rows:
+        z = {}
+        for lang in texts:
+            total = sum(counts[lang].values()) + 0.1 * language.SLOTS
+            z[lang] = np.log(texts[lang] / sum(texts.values())) + sum(np.log((counts[lang].get(s, 0) + 0.1) / total) for s in grams(t or ""))
+        best = max(sorted(z), key=z.get)
+        want.add((i, best, round(1 / sum(np.exp(min(z[x] - z[best], 0)) for x in z), 3)) if any(c.isalpha() for c in t or "") else (i, "und", 0.0))
+    assert got == want
+
+
+def test_nnpu_risk_against_plain_descent():
+    """The model of a small sample has the least corrected risk that numbers close to its own have."""
+    rng = np.random.default_rng(1)
+    make = lambda toxic: toxicity.features(" ".join([*rng.choice([f"w{i}" for i in range(50)], 10), *(rng.choice(["vile", "nasty", "foul"], 2) if toxic else [])]))
+    positive, unlabelled = [make(True) for _ in range(80)], [make(i % 5 == 0) for i in range(400)]
+    m = toxicity.train_nnpu(positive, unlabelled, 0.2, steps=2000)
+
+    def risk(weights, bias):
+        z = lambda rows: np.array([bias + sum(weights[s] * min(v, 3.0) for s, v in zip(*r)) for r in rows])
+        loss = lambda x: np.logaddexp(0, -x).mean()
+        share = np.bincount(np.concatenate([s for s, _ in unlabelled]), minlength=toxicity.SLOTS) / len(unlabelled)
+        p, u = z(toxicity._apart(positive, share)), z(unlabelled)
+        return 0.2 * loss(p) + max(0.0, loss(-u) - 0.2 * loss(-p))
+
+    least = risk(m.weights, m.bias)
+    used = np.flatnonzero(m.weights)
+    assert len(used)
+    assert risk(m.weights * 0, np.log(0.2 / 0.8)) > least
+    for s in used[:6]:
+        for step in (-0.5, 0.5):
+            w = m.weights.copy()
+            w[s] += step
+            assert risk(w, m.bias) > least - 0.02
