@@ -19,10 +19,10 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), common.WHITE, "")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, digest) of every row; texts stay where they are read."""
-    text = docs[f"`{text_col}`"]
-    return docs.select(docs[f"`{id_col}`"].alias("id"), F.char_length(F.coalesce(text, F.lit(""))).alias("length"), F.sha2(normalised(text).cast("binary"), 256).alias("digest"))
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, row, length, digest) of every row; texts stay where they are read. row is null without a row_col."""
+    text, row = docs[f"`{text_col}`"], docs[f"`{row_col}`"] if row_col else F.lit(None)
+    return docs.select(docs[f"`{id_col}`"].alias("id"), row.cast("long").alias("row"), F.char_length(F.coalesce(text, F.lit(""))).alias("length"), F.sha2(normalised(text).cast("binary"), 256).alias("digest"))
 
 
 class DigestIndex:
@@ -47,16 +47,18 @@ class DigestIndex:
         return self.spark.table(self.table)
 
     def add(self, rows: DataFrame) -> DataFrame:
-        """rows: (id, length, digest) of new data. Appends digests that are new, with the row that stays: the
-        longest original text, then the smallest id (null ids last). Returns (digest, keep_id, keep_length,
-        group_size) of the digests that were added; those the index had keep their old row."""
-        best = F.max(F.struct(F.col("length"), F.col("id").isNotNull().alias("has"), (-F.col("id")).alias("minus"))).alias("best")
+        """rows: (id, row, length, digest) of new data. Appends digests that are new, with the row that stays: the
+        longest original text, then the smallest id (null ids last), then the smallest row. Returns (digest,
+        keep_id, keep_length, group_size, keep_row) of the digests that were added; those the index had keep
+        their old row. The table is sorted anew within a bucket when it has been appended to."""
+        # Bitwise not turns the order round as minus does, without an overflow at the least id.
+        best = F.max(F.struct(F.col("length"), F.col("id").isNotNull().alias("has"), F.bitwise_not("id").alias("minus"), F.bitwise_not("row").alias("row"))).alias("best")
         groups = rows.groupBy("digest").agg(best, F.count("*").alias("group_size"))
-        groups = groups.select("digest", (-F.col("best.minus")).alias("keep_id"), F.col("best.length").alias("keep_length"), "group_size")
+        groups = groups.select("digest", F.bitwise_not("best.minus").alias("keep_id"), F.col("best.length").alias("keep_length"), "group_size", F.bitwise_not("best.row").alias("keep_row"))
         if self._ready:
             groups = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         groups = common.written(groups, "new-digests")
-        writer = groups.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
+        writer = groups.drop("keep_row").write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
         if self._ready:
             writer.mode("append").saveAsTable(self.table)
         else:
@@ -65,20 +67,25 @@ class DigestIndex:
         return groups
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, row_col: str | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Rows whose texts are equal without white space form a group; the longest original, then the smallest id
     stays. Null texts are empty and empty texts are one group. Rows with a null id are kept rows only if the
     whole group has none; of repeated ids with equal text all count as kept. With an index that already has
-    a digest, none of the new rows stays: keep_id is the index's row. Extra columns are ignored; an empty
-    table gives no rows.
+    a digest, none of the new rows stays: keep_id is the index's row. With row_col, a column of distinct
+    numbers, exactly one row of a new group is kept, of those that tie the smallest, and the column comes
+    along. Extra columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     # A new index is an empty table, so that it goes through the same anti-join and append as one with rows.
     index = index or DigestIndex(spark, common.fresh(spark, "digest-index"), buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))).attach()
-    rows = common.written(digests(docs, id_col, text_col), "digests")
-    index.add(rows)
+    rows = common.written(digests(docs, id_col, text_col, row_col), "digests")
+    added = index.add(rows)
+    if row_col:
+        known = index.rows().join(added.select("digest", "keep_row"), "digest", "left")
+        out = common.joined_on_hot(rows, known, "digest", "group_size")
+        return out.select(F.col("row").alias(row_col), F.col("id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"))
     out = common.joined_on_hot(rows, index.rows(), "digest", "group_size")
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 

@@ -56,16 +56,17 @@ def fingerprint(text: str | None, k: int = 4, seed: int = 42) -> int:
     return int(np.bitwise_or.reduce(np.where(ones * 2 > len(h), np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0))))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp long) for every row. Null and blank texts have fingerprint 0. Other columns are not read."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, seed: int = 42, row_col: str | None = None) -> DataFrame:
+    """(id, fp long) for every row, and row_col if given. Null and blank texts have fingerprint 0."""
 
     def run(batches):
         for batch in batches:
             got = [fingerprint(t.as_py(), k, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(got, np.uint64).view(np.int64)), *batch.columns[2:]], [id_col, "fp", *rest])
 
-    two = common.only(docs, id_col, text_col)
-    return common.mapped(two, run, f"`{id_col}` {dict(two.dtypes)[id_col]}, fp long")
+    rest = [row_col] if row_col else []
+    two = common.only(docs, id_col, text_col, *rest)
+    return common.mapped(two, run, f"`{id_col}` {dict(two.dtypes)[id_col]}, fp long" + "".join(f", `{x}` long" for x in rest))
 
 
 @cache
@@ -156,21 +157,25 @@ def linked(distinct: DataFrame, radius: int = 4, n: int | None = None) -> DataFr
     return distinct.select("fp").mapInArrow(spread, "prefix long, fp long").groupBy("prefix").applyInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, seed: int = 42, radius: int = 4, row_col: str | None = None) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable), group_size.
 
     Rows with equal fingerprints count as linked; links go between distinct fingerprints. Null and empty
     texts have fingerprint zero, which is linked like any other. Null ids stay as rows; a group's
     component_id is its smallest non-null id (null if it has none). Repeated rows stay repeated. An empty
-    table gives an empty result. Other columns are ignored.
+    table gives an empty result. With row_col, a column of distinct numbers (long), it comes along, and `kept`
+    says which one row of a group stays: that with the smallest id, then the smallest number. Other columns
+    are ignored.
     """
-    fps = common.written(fingerprints(docs, id_col, text_col, k, seed), "fingerprints")
-    groups = common.written(fps.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n")), "fp-groups")
+    fps = common.written(fingerprints(docs, id_col, text_col, k, seed, row_col), "fingerprints")
+    first = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), (F.col(f"`{row_col}`") if row_col else F.lit(0)).alias("row"))
+    groups = common.written(fps.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "fp-groups")
     links = common.written(linked(groups, radius), "fp-links")
     comp = common.components(links)
-    named = groups.join(comp, groups.fp == comp.node, "left").select("fp", "first_id", "n", F.coalesce("component", "fp").alias("c"))
+    named = groups.join(comp, groups.fp == comp.node, "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("c"))
     named = common.written(named, "fp-components")
-    least = named.groupBy("c").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("group_size"), F.count("*").alias("fps"))
-    named = common.joined_on_hot(named, common.written(least, "fp-least"), "c", "fps").select("fp", "component_id", "group_size", "n")
+    least = named.groupBy("c").agg(F.min("first").alias("least"), F.sum("n").alias("group_size"), F.count("*").alias("fps"))
+    named = common.joined_on_hot(named, common.written(least, "fp-least"), "c", "fps").select("fp", F.col("least.id").alias("component_id"), F.col("least.row").alias("keep_row"), "group_size", "n")
     out = common.joined_on_hot(fps, common.written(named, "fp-named"), "fp", "n")
-    return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_size")
+    extra = [row_col, (F.col(f"`{row_col}`") == F.col("keep_row")).alias("kept")] if row_col else []
+    return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_size", *extra)

@@ -1,9 +1,10 @@
 """WARC archives by way of chunked record tables.
 
-A payload is a run of rows (record identifier, chunk number, bytes), never one large value: the writer
-streams rows in (record, chunk) order into compressed archives, the reader streams archives into such rows
-and carries each record's SHA-1 and length from chunk to chunk. Equal payloads become one response and
-revisits that refer to it.
+A payload is a run of rows (record, chunk number, bytes), never one large value: it is cut as soon as it is
+read, with its SHA-1 carried from chunk to chunk, and what is moved to tell equal payloads are digests. Chunks
+stay in the order and the place they were cut in; the writer streams them into compressed archives, and the
+reader streams archives into such rows, carrying each record's SHA-1 and length along. Equal payloads become
+one response and revisits that refer to it.
 """
 
 from __future__ import annotations
@@ -27,30 +28,70 @@ VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identica
 DATE = "2024-01-01T00:00:00Z"
 
 
-def records(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Per row: id, url, payload_bytes, sha1 (hex), copies, response_id; payloads themselves are not moved.
+def cut(pages: DataFrame, chunk: int = CHUNK, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """The chunks of all payloads: part (of the table), rid (record within all), id, url, chunk_no, data and, at a
+    record's last chunk, payload_bytes and sha1 (hex). Null payloads are empty; every record has chunk 0."""
+    spark, buckets = pages.sparkSession, common.partitions(pages, 64 << 20)
+    # One number for each bucket, so that a task's chunks make one sorted file, and tasks go round the buckets.
+    found = spark.range(40 * buckets).select(F.col("id").cast("int").alias("i")).groupBy(F.pmod(F.hash("i"), F.lit(buckets)).alias("b")).agg(F.min("i"))
+    number = [r[1] for r in sorted(found.collect())]
+    # Payloads come as characters; a row of them is turned to bytes a chunk's worth of characters at a time.
+    three = pages.select(pages[f"`{id_col}`"].cast("long").alias("id"), pages[f"`{url_col}`"].cast("string").alias("url"), pages[f"`{payload_col}`"].cast("string").alias("payload"))
 
-    Of equal payloads of at least `least` bytes, the row with the largest id is the response that the others
-    revisit. Null payloads are empty. Null ids lose to any other."""
-    payload = F.coalesce(pages[f"`{payload_col}`"].cast("string"), F.lit("")).cast("binary")
-    rows = common.written(pages.select(pages[f"`{id_col}`"].cast("long").alias("id"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("sha1")), "payload-digests")
-    groups = rows.groupBy("sha1").agg(F.max("id").alias("response_id"), F.count("*").alias("copies"))
-    out = common.joined_on_hot(rows, common.written(groups, "payload-groups"), "sha1", "copies")
-    return out.select("id", "payload_bytes", "sha1", "copies", F.when(F.col("payload_bytes") >= least, F.col("response_id")).otherwise(F.col("id")).alias("response_id"))
+    def run(batches):
+        from pyspark import TaskContext
 
+        task, made = TaskContext.get().partitionId(), 0
+        names = ["part", "rid", "id", "url", "chunk_no", "data", "payload_bytes", "sha1"]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.string())
+        rows: list[tuple] = []
+        held = 0
 
-def chunked(pages: DataFrame, least: int = 0, chunk: int = CHUNK, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """The chunked record table of pages: id, url, response_id, payload_bytes, sha1, chunk_no, data.
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+
+        for batch in batches:
+            for key, url, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                view = memoryview(value.as_buffer() or b"")
+                digest, rid = hashlib.sha1(), (task << 33) + made
+                made += 1
+                for no, at in enumerate(range(0, max(len(view), 1), chunk)):
+                    data = view[at : at + chunk]
+                    digest.update(data)
+                    last = at + chunk >= len(view)
+                    rows.append((number[task % buckets], rid, key, url, no, bytes(data), len(view) if last else None, digest.hexdigest() if last else None))
+                    held += len(data) + 200
+                    if held > 1 << 22:
+                        yield flush()
+                        rows, held = [], 0
+        if rows:
+            yield flush()
+
+    chunks = common.mapped(three, run, "part int, rid long, id long, url string, chunk_no int, data binary, payload_bytes long, sha1 string")
+    table = f"warc_chunks_{uuid.uuid4().hex}"
+    writer = chunks.write.format("parquet").bucketBy(buckets, "part").sortBy("part", "rid", "chunk_no").option("compression", "zstd")
+    writer.option("path", common.fresh(spark, "warc-chunks")).saveAsTable(table)
+    return spark.table(table)
+
+
+def decided(chunks: DataFrame, least: int = 0) -> DataFrame:
+    """Per record: part, rid, payload_bytes, sha1, response_id. Of equal payloads of at least `least` bytes, the row
+    with the largest id is the response that the others revisit. Null ids lose to any other."""
+    heads = common.written(chunks.filter("sha1 is not null").select("part", "rid", "id", "payload_bytes", "sha1"), "warc-records")
+    groups = heads.groupBy("sha1").agg(F.max("id").alias("response_id"), F.count("*").alias("copies"))
+    out = common.joined_on_hot(heads, common.written(groups, "warc-groups"), "sha1", "copies")
+    return out.select("part", "rid", "payload_bytes", "sha1", F.when(F.col("payload_bytes") >= least, F.col("response_id")).otherwise(F.col("id")).alias("response_id"))
 
-    Every record has chunk 0; revisits have no data. A record's chunks are made in one task, in order."""
-    payload = F.coalesce(pages[f"`{payload_col}`"].cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(pages[f"`{id_col}`"].cast("long").alias("id"), pages[f"`{url_col}`"].cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
-    decided = records(pages, least, id_col, url_col, payload_col).select(F.col("id").alias("d_id"), F.col("sha1").alias("d_sha1"), "payload_bytes", "response_id").distinct()
-    joined = rows.join(decided, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("sha1") == F.col("d_sha1")))
+
+def chunked(pages: DataFrame, least: int = 0, chunk: int = CHUNK, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """The chunked record table of pages, to be written: id, url, response_id, payload_bytes, sha1, chunk_no, data,
+    in order within partitions. Every record has chunk 0; revisits have no data."""
+    chunks = cut(pages, chunk, id_col, url_col, payload_col)
+    found = common.written(decided(chunks, least), "warc-decided")
+    both = chunks.select("part", "rid", "id", "url", "chunk_no", "data").join(found.hint("merge"), ["part", "rid"])
     holds = F.col("id").eqNullSafe(F.col("response_id"))
-    n = F.when(holds, F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk))).otherwise(1).cast("int")
-    part = lambda i: F.struct(i.alias("chunk_no"), F.when(holds, F.substring("payload", i * chunk + 1, F.lit(chunk))).alias("data"))
-    return joined.select("id", "url", "response_id", "payload_bytes", "sha1", F.inline(F.transform(F.sequence(F.lit(0), n - 1), part)))
+    both = both.filter(holds | (F.col("chunk_no") == 0)).withColumn("data", F.when(holds, F.col("data")))
+    return both.sortWithinPartitions("part", "rid", "chunk_no").select("id", "url", "response_id", "payload_bytes", "sha1", "chunk_no", "data")
 
 
 def digest32(sha1_hex: str) -> str:
@@ -62,8 +103,14 @@ def _record_uri(key) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record:{key}')}>"
 
 
-def _header(row: dict, archive_bytes: int) -> bytes:
+def _http(payload_bytes: int) -> bytes:
+    """The head that makes a payload the block of a response record."""
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
+
+
+def _header(row: dict) -> bytes:
     revisit = row["id"] != row["response_id"]
+    size = 0 if revisit else len(_http(row["payload_bytes"])) + row["payload_bytes"]
     lines = [
         VERSION,
         f"WARC-Type: {'revisit' if revisit else 'response'}",
@@ -76,7 +123,7 @@ def _header(row: dict, archive_bytes: int) -> bytes:
     ]
     if revisit:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_uri(row['response_id'])}", f"X-Refers-To-Page-Id: {row['response_id']}"]
-    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {archive_bytes}"]
+    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {size}"]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n"
 
 
@@ -98,7 +145,7 @@ def write(chunks: DataFrame, folder: str, level: int = 1, file_bytes: int = FILE
                 while row is not None and written < file_bytes:
                     gz = zlib.compressobj(level, zlib.DEFLATED, 31)
                     left = row["payload_bytes"] if row["id"] == row["response_id"] else 0
-                    written += out.write(gz.compress(_header(row, left))) or 0
+                    written += out.write(gz.compress(_header(row) + (_http(left) if row["id"] == row["response_id"] else b""))) or 0
                     begun = False
                     while row is not None and not (begun and row["chunk_no"] == 0):
                         begun = True
@@ -112,7 +159,13 @@ def write(chunks: DataFrame, folder: str, level: int = 1, file_bytes: int = FILE
             names.append(name)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
 
-    return common.written(common.mapped(chunks, run, "name string"), "warc-files")
+    spark, name = chunks.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition"
+    had = spark.conf.get(name)
+    spark.conf.set(name, "false")  # chunks stay in their buckets when records' decisions come to them
+    try:
+        return common.written(common.mapped(chunks, run, "name string"), "warc-files")
+    finally:
+        spark.conf.set(name, had)
 
 
 def _inflated(stream, size: int = 1 << 16) -> Iterator[bytes]:
@@ -157,7 +210,7 @@ class _Reader:
 
 def stream(file, chunk: int = CHUNK) -> Iterator[dict]:
     """Chunk rows of an archive: header (dict of lower-case names), chunk_no, data, last; with `last` come
-    sha1 and length of the record's bytes as read, carried along chunk by chunk."""
+    sha1 and length of the payload as read, carried along chunk by chunk."""
     reader = _Reader(_inflated(file))
     while True:
         line = reader.line()
@@ -171,8 +224,12 @@ def stream(file, chunk: int = CHUNK) -> Iterator[dict]:
         while line := reader.line():
             name, _, value = line.decode("utf-8", "surrogatepass").partition(":")
             header[name.strip().lower()] = value.strip()
-        digest, length, number, held = hashlib.sha1(), 0, 0, b""
-        for part in reader.take(int(header["content-length"])):
+        digest, length, number, held, size = hashlib.sha1(), 0, 0, b"", int(header["content-length"])
+        if size and header.get("content-type", "").startswith("application/http"):
+            while line := reader.line():  # the payload begins behind the empty line
+                size -= len(line) + 2
+            size -= 2
+        for part in reader.take(size):
             digest.update(part)
             length += len(part)
             held += part

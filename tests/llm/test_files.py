@@ -170,6 +170,28 @@ def test_warc_chunks_rebuild_payloads(spark):
     assert max(len(d) for p in parts.values() for _, d, *_ in p) <= 777
 
 
+def test_a_payload_above_the_size_of_an_archive(spark, monkeypatch):
+    text = "".join(chr(97 + i % 23) * (i % 7) for i in range(60_000))
+    df = spark.createDataFrame([(1, "http://a", text), (2, "http://b", "short"), (3, "http://c", text)], "page_id long, url string, html string").repartition(2)
+    folder = common.fresh(spark, "warc")
+    names = warc.write(warc.chunked(df, chunk=4096), folder, file_bytes=1000)
+    rows = warc.read(names, folder, chunk=1000, with_data=True).collect()
+    whole = b"".join(bytes(r.data) for r in sorted((r for r in rows if r.page_id == 3), key=lambda r: r.chunk_no))
+    assert whole.decode() == text
+    assert {(r.page_id, r.record_type, r.refers_to) for r in rows} == {(1, "revisit", 3), (2, "response", None), (3, "response", None)}
+    assert all(r.verified for r in rows if r.last and r.record_type == "response")
+
+
+def test_chunks_stay_in_their_buckets(spark):
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = warc.chunked(pages(spark))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+    assert "SortMergeJoin" in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_warc_empty(spark):
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 

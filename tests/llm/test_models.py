@@ -111,16 +111,22 @@ def test_stages_survive_nulls_and_clashing_columns(spark, docs, empty):
         assert pipeline.STAGES[-1][1](spark, out, "").count() >= out.count()
 
 
-def test_null_ids_stay_where_nothing_else_does(spark):
-    import corpus_pipeline as pipeline
-
+def test_dedup_stages_go_by_rows(spark):
+    """Ids may be null or repeat: of each group of copies exactly one row stays, and nothing else goes."""
+    pipeline = pytest.importorskip("corpus_pipeline")
     from .conftest import prose
 
-    rows = [(1, prose(1, 60)), (None, prose(1, 60)), (None, prose(2, 60)), (3, None), (None, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b, c = (prose(i, 60) for i in (1, 2, 3))
+    rows = [(1, a), (1, a), (None, b), (2, c), (None, a), (2, b + "x y z q w e r t"), (3, None), (None, ""), (-(1 << 63), c)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, row_number string").repartition(4)
     for stage in (pipeline.exact_dedup, pipeline.simhash_dedup):
-        got = {(r.doc_id, r.text) for r in stage(spark, docs, "").collect()}
-        assert got == {rows[0], rows[2], rows[3]}
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert len(got) == len(set(got))
+        assert {x for x in got if x[1] in (a, b, None)} == {(1, a), (None, b), (3, None)}
+        assert (-(1 << 63), c) in got
+        assert (2, c) not in got
 
 
 def test_language_against_plain_counts(spark, docs):
