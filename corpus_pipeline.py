@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.llm import common, exact, language, packing, simhash, toxicity
@@ -22,51 +22,42 @@ def _passing(docs: DataFrame, predict, model, condition) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has letters and a language found with a posterior of LEAST_SCORE or more stay.
 
-    Decided row by row; learned from these documents. All columns pass through."""
+    Decided row by row, so repeated rows fare alike; null and empty texts go. Learned from these documents. All
+    columns pass through, and an empty table stays empty."""
     return _passing(docs, language.predict, language.train(docs), (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5 stay; learned from these documents and the labels table."""
+    """Documents that score below 0.5 stay, null and empty texts among them; learned from these documents and the
+    labels table. Decided row by row, so repeated rows fare alike; an empty table stays empty."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _passing(docs, toxicity.predict, model, F.col("score") < 0.5)
 
 
-def _keeping(docs: DataFrame, keep: DataFrame, unnamed: DataFrame) -> DataFrame:
-    """docs' rows whose doc_id is among keep's, and those with a null id whose text's SHA-256 is among unnamed's
-    (column sha). Rows that share an id stay together."""
-    named = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
-    apart = docs.filter("doc_id IS NULL").toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    found = apart.join(unnamed, _sha(F.col(f"c{docs.columns.index('text')}")) == F.col("sha"), "left_semi")
-    return named.unionByName(found.toDF(*docs.columns))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a column of row numbers, and its name: ids can be null or repeat, rows can't."""
+    row = "row_number"
+    while row in docs.columns:
+        row += "_"
+    return common.written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
-def _sha(text: Column) -> Column:
-    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
-
-
-def _unnamed(docs: DataFrame) -> DataFrame:
-    """(sha, text): the distinct texts of rows with a null id; a null text counts as empty."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.filter("doc_id IS NULL").select(_sha(F.col("text")).alias("sha"), text.alias("text")).dropDuplicates(["sha"])
+def _kept(docs: DataFrame, found: DataFrame, row: str) -> DataFrame:
+    return docs.join(common.written(found.filter("kept").select(row), "kept-rows"), row, "left_semi").drop(row)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for white space, the longest, then that with the smallest doc_id, stays.
-    Those with a null id stay where none of their group has one."""
-    found = common.written(exact.exact_duplicates(docs), "exact-found").filter("kept")
-    texts = exact.digests(_unnamed(docs), "sha").withColumnRenamed("id", "sha")
-    unnamed = texts.join(found.filter("doc_id IS NULL").select(F.col("text_sha256").alias("digest")), "digest", "left_semi")
-    return _keeping(docs, found.select("doc_id"), unnamed.select("sha"))
+    """Of documents equal but for white space one stays: the longest, then that with the smallest doc_id, null ones
+    last, then the first. Null and empty texts are equal; an empty table stays empty."""
+    docs, row = _numbered(docs)
+    return _kept(docs, exact.exact_duplicates(docs, row_col=row), row)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-equal fingerprints, that with the smallest doc_id stays. Those with
-    a null id stay where none of those they are linked to has one."""
-    found = common.written(simhash.near_duplicates(docs), "simhash-found").filter("doc_id <=> component_id")
-    texts = simhash.fingerprints(_unnamed(docs), "sha").withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))
-    unnamed = texts.join(found.filter("doc_id IS NULL"), "fingerprint", "left_semi")
-    return _keeping(docs, found.select("doc_id"), unnamed.select("sha"))
+    """Of documents linked by near-equal fingerprints one stays: that with the smallest doc_id, null ones last, then
+    the first. Null and empty texts have fingerprint zero; an empty table stays empty."""
+    docs, row = _numbered(docs)
+    return _kept(docs, simhash.near_duplicates(docs, row_col=row), row)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
