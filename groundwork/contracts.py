@@ -43,8 +43,13 @@ def row_count(df: DataFrame, expected: int) -> DataFrame:
     return df
 
 
+def shared(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """The distinct keys that both sides hold."""
+    return a.select(*keys).intersect(b.select(*keys))
+
+
 def disjoint(a: DataFrame, b: DataFrame, *keys: str) -> None:
-    if not a.select(*keys).intersect(b.select(*keys)).isEmpty():
+    if not shared(a, b, *keys).isEmpty():
         raise ContractError(f"both sides hold some of {keys}")
 
 

@@ -75,3 +75,19 @@ def parsed_entity(raw_json: Column) -> Column:
     bad = e["start"].isNull() | e["end"].isNull() | e["text"].isNull() | (e["start"] < 0) | (e["end"] < e["start"])
     out = F.struct(e["start"].alias("start"), e["end"].alias("end"), e["text"].alias("text"), F.coalesce(e["label"], e["type"], F.lit("")).alias("label"), F.coalesce(e["score"], F.lit(0.0)).alias("score"))
     return F.when(bad, F.raise_error(F.concat(F.lit("invalid entity: "), raw_json)).cast("struct<start:int,end:int,text:string,label:string,score:double>")).otherwise(out)
+
+
+RELATION = "struct<head_start:int,head_end:int,head_text:string,tail_start:int,tail_end:int,tail_text:string,relation_id:string,score:double>"
+
+
+def parsed_relation(raw_json: Column) -> Column:
+    """Relation struct from raw JSON: score falls back to 0; bad offsets or missing parts raise."""
+    r = F.from_json(raw_json, RELATION)
+    bad = F.coalesce(r["head_text"], F.lit("")) == ""
+    for part in ("tail_text", "relation_id"):
+        bad |= F.coalesce(r[part], F.lit("")) == ""
+    for end in ("head", "tail"):
+        start, stop = r[f"{end}_start"], r[f"{end}_end"]
+        bad |= start.isNull() | stop.isNull() | (start < 0) | (stop < start)
+    out = r.withField("score", F.coalesce(r["score"], F.lit(0.0)))
+    return F.when(bad, F.raise_error(F.concat(F.lit("invalid relation: "), F.coalesce(raw_json, F.lit("null")))).cast(RELATION)).otherwise(out)

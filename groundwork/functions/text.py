@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,10 +22,29 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+@cache
+def _folds() -> tuple[str, str]:
+    """Characters of the basic plane whose composed, case-folded form is another single character, and those."""
+    pairs = [(c, unicodedata.normalize("NFKC", c).casefold()) for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)])]
+    pairs = [(c, f) for c, f in pairs if len(f) == 1 and f != c]
+    return "".join(c for c, _ in pairs), "".join(f for _, f in pairs)
+
+
+#: Latin letters that occur in a word without compatibility forms need no table.
+_PLAIN = r"^[\x00-\x7F\u00C0-\u017E&&[^\u0130\u0131\u0132\u0133\u013F\u0140\u0149]]*$"
+#: Forms of several letters, by rule the ligatures of the Latin block.
+_LIGATURES = {c: unicodedata.normalize("NFKC", c).casefold() for c in map(chr, range(0xFB00, 0xFB07))} | {"ß": "ss", "ẞ": "ss", "…": "...", "ŉ": "ʼn"}
+
+
 def norm(text: Column) -> Column:
-    """Case-folded and collapsed, natively. Equals norm_exact where compatibility forms and other folds than
-    that of the sharp s don't occur."""
-    return collapse(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+    """Compatibility forms composed, case folded, collapsed, natively: wide and other single-letter forms by a
+    table made from Unicode's data, Latin ligatures. Equals norm_exact but for combining marks that stand by
+    themselves and other forms of several letters."""
+    folded = F.translate(text, *_folds())
+    for c, letters in _LIGATURES.items():
+        folded = F.replace(folded, F.lit(c), F.lit(letters))
+    plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    return collapse(F.when(text.rlike(_PLAIN), plain).otherwise(F.lower(folded)))
 
 
 @F.pandas_udf(StringType())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.constants import ENTITY_MATCH_THRESHOLD
@@ -34,6 +34,12 @@ def weighted_bad_rate(confidence, bad):
     return F.when(F.count(confidence) == 0, 0.0).when(total == 0, F.avg(bad.cast("double"))).otherwise(F.sum(F.when(bad, confidence).otherwise(0.0)) / total)
 
 
+def status(context_names: Column, response_names: Column) -> Column:
+    """Whether a sample can be predicted, by its numbers of names; null counts as none."""
+    none = lambda n: F.coalesce(n, F.lit(0)) == 0
+    return F.when(none(context_names), "no_context_entities").when(none(response_names), "no_response_entities").otherwise("predicted")
+
+
 def feature_rows(samples: DataFrame, entities: DataFrame, relations: DataFrame, key=X.norm) -> DataFrame:
     """The 17-column feature row of every sample (sample_id, task_type), from long graph tables."""
     ents = graphs.graph_entities(entities, relations, key)
@@ -60,9 +66,9 @@ def feature_rows(samples: DataFrame, entities: DataFrame, relations: DataFrame,
     out = samples.select("sample_id", "task_type")
     for part in (c, r, fuzzy, strict):
         out = out.join(part, "sample_id", "left")
-    status = F.when(zero("nc") == 0, "no_context_entities").when(zero("nr") == 0, "no_response_entities").otherwise("predicted")
+    state = status(F.col("nc"), F.col("nr"))
     return out.select(
-        "sample_id", "task_type", status.alias("status"), (status == "predicted").cast("int").alias("can_predict"), zero("nc").alias("context_entity_count"), zero("nr").alias("response_entity_count"), zero("n_triples").alias("response_relation_count"),
+        "sample_id", "task_type", state.alias("status"), (state == "predicted").cast("int").alias("can_predict"), zero("nc").alias("context_entity_count"), zero("nr").alias("response_entity_count"), zero("n_triples").alias("response_relation_count"),
         none("weighted").alias("weighted_ungrounded_entity_rate"), (zero("nr") / F.greatest(zero("nc"), F.lit(1))).alias("response_context_entity_ratio"), F.log1p(zero("n_triples")).alias("log_response_relation_count"),
         none("fuzzy_rel").alias("fuzzy_novel_endpoint_relation_rate"), none("fuzzy").alias("fuzzy_ungrounded_entity_rate"), (none("rc") - none("cc")).alias("entity_confidence_gap"),
         F.log1p(zero("unknown")).alias("ungrounded_response_entity_count_log"), none("least").alias("min_entity_support_similarity"), none("mean").alias("mean_entity_support_similarity"), none("rc").alias("mean_response_entity_confidence"), none("novel_rate").alias("novel_endpoint_relation_rate"),

@@ -95,3 +95,39 @@ def mapped_triples(gold: DataFrame, mapping: DataFrame) -> DataFrame:
     m = mapping.filter("status = 'mapped'").select(F.col("docred_id").alias("r"), "hgr_relation", "reverse_direction")
     turn = lambda a, b: F.when(F.col("reverse_direction"), F.col(a)).otherwise(F.col(b))
     return gold.join(m, "r").select("sample_id", turn("t", "h").alias("h"), F.col("hgr_relation").alias("r"), turn("h", "t").alias("t")).distinct()
+
+
+def assembled(samples: DataFrame, entities: DataFrame, relations: DataFrame, sides: tuple[str, ...] = ("context", "response")) -> DataFrame:
+    """The inverse of explode_graphs for samples (sample_id, task_type): entities by start and end, relations by
+    starts of head and tail and by id; rows that tie keep their positions. A sample without rows has empty graphs."""
+
+    def listed(df: DataFrame, order: list[str], kind: str) -> DataFrame:
+        fields = [f.split()[0] for f in kind[len("array<struct<") : -2].replace(":", " ").split(",")]
+        row = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate([*order, "pos"])], F.struct(*fields).alias("v"))
+        return df.groupBy("sample_id", "side").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["v"]).cast(kind).alias("l"))
+
+    ents = listed(entities, ["start", "end"], "array<struct<start:int,end:int,text:string,label:string,score:double>>")
+    rels = listed(relations, ["head_start", "tail_start", "relation_id"], "array<struct<head_start:int,head_end:int,head_text:string,relation_id:string,tail_start:int,tail_end:int,tail_text:string,score:double>>")
+    out = samples.select("sample_id", "task_type")
+    for s in sides:
+        for name, part in (("entities", ents), ("relations", rels)):
+            out = out.join(part.filter(F.col("side") == s).select("sample_id", F.col("l").alias(f"{s}_{name}")), "sample_id", "left")
+    whole = lambda c, part: F.coalesce(c, F.array().cast(dict(part.dtypes)["l"]))
+    graph = lambda s: F.struct(whole(F.col(f"{s}_entities"), ents).alias("entities"), whole(F.col(f"{s}_relations"), rels).alias("relations")).alias(f"{s}_graph")
+    return out.select("sample_id", "task_type", *[graph(s) for s in sides])
+
+
+def name_sets(*lists: Column) -> Column:
+    """The distinct trimmed names of these lists together, those of a single character left out."""
+    names = F.transform(F.flatten(F.array(*lists)), lambda n: F.trim(n))
+    return F.array_distinct(F.filter(names, lambda n: F.char_length(n) > 1))
+
+
+def first_mentions(clusters: Column) -> Column:
+    """Lower-cased first mention of each cluster (arrays of mentions); null for an empty one."""
+    return F.transform(clusters, lambda mentions: F.lower(F.get(mentions, F.lit(0))))
+
+
+def gold_triplets(names: Column, relations: Column) -> Column:
+    """Triplets (head, relation, tail) of relations (h, r, t: numbers of clusters) by the clusters' names."""
+    return F.transform(relations, lambda x: F.struct(F.get(names, x["h"]).alias("head"), x["r"].alias("relation"), F.get(names, x["t"]).alias("tail")))

@@ -135,4 +135,25 @@ def winner(f1_a: Column, f1_b: Column, tolerance: float, name_a: str = "a", name
 def in_task_order(df: DataFrame, tasks: Sequence[str], key: str = "task_type") -> DataFrame:
     """df's rows for these tasks in this order, a row of nulls for those it lacks."""
     dim = df.sparkSession.createDataFrame([(t, i) for i, t in enumerate(tasks)], f"{key} string, task_order int")
-    return F.broadcast(dim).join(df, key, "left").orderBy("task_order")
+    return dim.join(df, key, "left").orderBy("task_order")
+
+
+def column_means(df: DataFrame, by: Sequence[str], *values: str) -> DataFrame:
+    """The mean of each of these columns by group."""
+    return df.groupBy(*by).agg(*[F.avg(v).alias(v) for v in values])
+
+
+def global_report(df: DataFrame, value: str, below: float, by: Sequence[str] = ()) -> DataFrame:
+    """n, n_missing, median, mean, n_below and pct_below of a column; missing values are not counted in the rest.
+    Medians and means are rounded to one digit, percentages to none, half to even."""
+    x = F.col(value)
+    low = F.count_if(x < below)
+    return df.groupBy(*by).agg(
+        F.count(x).alias("n"), F.count_if(x.isNull()).alias("n_missing"), F.bround(F.median(x), 1).alias("median"), F.bround(F.avg(x), 1).alias("mean"), low.alias("n_below"), F.bround(F.try_divide(100 * low, F.count(x)), 0).alias("pct_below"),
+    )
+
+
+def micro_ceiling(per_document: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Summed endpoint ceiling of align.endpoint_ceiling's rows: reachable over all gold relations."""
+    g = per_document.groupBy(*by).agg(F.sum("n_gold").alias("n_gold"), F.sum("n_reachable").alias("n_reachable"))
+    return g.withColumn("ceiling", F.try_divide(F.col("n_reachable").cast("double"), F.col("n_gold").cast("double")))

@@ -6,7 +6,7 @@ Every step is one aggregation to a gradient and a Hessian of a few numbers; rows
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -118,6 +118,24 @@ def coefficients(spark: SparkSession, models: dict[str, Logistic]) -> DataFrame:
     return spark.createDataFrame(rows, "task_type string, feature string, standardized_coefficient double")
 
 
+def by_coefficient(coefs: DataFrame) -> DataFrame:
+    """Coefficients by task and rising value, as a bar chart lists them."""
+    return coefs.orderBy("task_type", "standardized_coefficient", "feature")
+
+
+def for_each(df: DataFrame, by: Sequence[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run on the rows of every combination of these columns, such as task and model, and what it gives together
+    with them. Each run fits a model with Spark jobs of its own; there are as many as combinations."""
+    out = None
+    for key in df.select(*by).distinct().orderBy(*by).collect():
+        own = df
+        for c in by:
+            own = own.filter(F.col(c).eqNullSafe(F.lit(key[c])))
+        part = run(own).withColumns({c: F.lit(key[c]) for c in by})
+        out = part if out is None else out.unionByName(part)
+    return df.limit(0) if out is None else out
+
+
 def save_models(spark: SparkSession, models: dict[str, Logistic], path: str) -> None:
     """Models as one JSON line for each task."""
     rows = [(t, json.dumps({"features": m.features, "means": m.means, "scales": m.scales, "weights": m.weights, "intercept": m.intercept})) for t, m in models.items()]

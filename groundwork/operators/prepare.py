@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwork import contracts
-from groundwork.constants import SYSTEM_SCORE_IDS
+from groundwork.constants import EXPECTED_SPLIT_ROWS, SYSTEM_SCORE_IDS
 from groundwork.functions import text as X
 
 
@@ -66,12 +66,14 @@ def lookup(key: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
-def join_sources(responses: DataFrame, sources: DataFrame, missing: str = "error", default_task: str = "?") -> DataFrame:
-    """responses with their source's columns. missing: "error", or "default" to keep rows without a source."""
+def join_sources(responses: DataFrame, sources: DataFrame, missing: str = "error", defaults: dict[str, str] | None = None) -> DataFrame:
+    """responses with their source's columns. missing: "error", or "default" to keep rows without a source, with
+    defaults in its columns (task_type "?" and an empty source object)."""
     if missing == "error":
         return contracts.join(responses, sources, ["source_id"], require_match=True)
     out = responses.join(sources, "source_id", "left")
-    return out.withColumn("task_type", F.coalesce("task_type", F.lit(default_task)))
+    filled = {"task_type": "?", "source_info": "{}"} | (defaults or {})
+    return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in filled.items() if c in sources.columns})
 
 
 def mean_scores(scores: DataFrame) -> DataFrame:
@@ -121,7 +123,7 @@ def manifest_assignment(manifest: DataFrame, dataset: str) -> DataFrame:
     """(source_id, split) of a split manifest's dataset."""
     d = manifest.select(F.element_at("datasets", dataset).alias("d"))
     part = lambda name, split: d.select(F.explode(f"d.{name}").alias("source_id"), F.lit(split).alias("split"))
-    return part("validation", "validation").unionByName(part("test", "test"))
+    return part("validation", "val").unionByName(part("test", "test"))
 
 
 def split_by_manifest(samples: DataFrame, manifest: DataFrame, dataset: str) -> DataFrame:
@@ -136,6 +138,19 @@ def split_by_manifest(samples: DataFrame, manifest: DataFrame, dataset: str) ->
     return assign_splits(samples, assignment)
 
 
+def expected_rows(samples: DataFrame, dataset: str) -> DataFrame:
+    """samples, if train, val and test have as many rows as the published corpus."""
+    got = {r["split"]: r["count"] for r in samples.groupBy("split").count().collect()}
+    if tuple(got.get(x, 0) for x in ("train", "val", "test")) != EXPECTED_SPLIT_ROWS[dataset]:
+        raise contracts.ContractError(f"{dataset}: rows by split are {got}, {EXPECTED_SPLIT_ROWS[dataset]} expected")
+    return samples
+
+
+def leading(df: DataFrame, *names: str) -> DataFrame:
+    """df with these columns first and all others behind them."""
+    return df.select(*names, *[c for c in df.columns if c not in names])
+
+
 def columns_like(df: DataFrame, part: str) -> list[str]:
     """Columns whose name holds part, whatever the case."""
     return [c for c in df.columns if part.lower() in c.lower()]

@@ -6,6 +6,9 @@ words are entities, neighbouring ones are related; scores and relation ids follo
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _once(make):
+    """The table is kept for the session, in memory or on local disk, as many queries begin with it; what is lost
+    with an executor is made anew."""
+
+    @functools.wraps(make)
+    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+        held = spark.sparkContext.__dict__.setdefault("_groundwork_tables", {})
+        key = (make.__name__, sf_dir)
+        if key not in held or not held[key].is_cached:
+            held[key] = make(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        return held[key]
+
+    return made
+
+
+@_once
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(F.char_length("text") / 2).cast("int")
     joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
@@ -30,6 +49,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_once
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample_id, side, pos, text, key, score, type."""
     sides = samples(spark, sf_dir).select("sample_id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("t")) for s in ("context", "response")])).alias("x"))
@@ -40,6 +60,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("key", key).withColumn("score", F.when(n % 7 == 0, 0.0).otherwise(F.least(n, F.lit(12)) / 12)).withColumn("type", F.get(kinds, n % 3))
 
 
+@_once
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample_id, side, pos, head_text, relation_id, tail_text, score."""
     w = Window.partitionBy("sample_id", "side").orderBy("pos")

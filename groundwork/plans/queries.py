@@ -14,6 +14,7 @@ from groundwork.functions import text as X
 from groundwork.functions.similarity import with_similarity
 from groundwork.operators import align, graphs, metrics, model, prepare, sampling, windows
 from groundwork.plans import fixtures as fx
+from groundwork.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -115,12 +116,14 @@ def strict_novel_relations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query("""
-, u AS (SELECT sample_id, key, side, row_number() OVER (PARTITION BY sample_id, key ORDER BY side) AS n FROM node)
-SELECT sample_id, key, count(*) AS sides FROM u GROUP BY 1, 2
+, m AS (SELECT *, pos + CASE side WHEN 'context' THEN 0 ELSE 1099511627776 END AS p FROM entity WHERE lower(text) NOT IN ('the', 'an', 'a'))
+SELECT sample_id, side, key, type, score, pos FROM (SELECT sample_id, 'reference' AS side, lower(text) AS key, type, max(score) AS score, arg_min(p, (-score, p)) AS pos FROM m GROUP BY ALL)
 """)
 def union_graphs(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = graphs.graph_entities(fx.entities(spark, sf), fx.relations(spark, sf))
-    return nodes.groupBy("sample_id", "key").agg(F.count("*").alias("sides"))
+    e, r = fx.entities(spark, sf), fx.relations(spark, sf)
+    of = lambda d, s: d.filter(F.col("side") == s)
+    ents, _ = graphs.union_graphs([of(e, "context"), of(e, "response")], [of(r, "context"), of(r, "response")])
+    return ents.select("sample_id", "side", "key", "type", "score", "pos")
 
 
 @_query("""
@@ -139,24 +142,23 @@ FROM sample s LEFT JOIN (SELECT DISTINCT sample_id FROM ctx) c USING (sample_id)
 """)
 def status_counts(spark: SparkSession, sf: str) -> DataFrame:
     context, answer = _names(spark, sf)
-    has = lambda d, n: d.select("sample_id").distinct().withColumn(n, F.lit(1))
-    s = fx.samples(spark, sf).join(has(context, "c"), "sample_id", "left").join(has(answer, "a"), "sample_id", "left")
-    status = F.when(F.col("c").isNull(), "no_context_entities").when(F.col("a").isNull(), "no_response_entities").otherwise("predicted")
-    return s.groupBy("task_type", status.alias("status")).agg(F.count("*").alias("n"))
+    size = lambda d, n: d.groupBy("sample_id").agg(F.count("*").alias(n))
+    s = fx.samples(spark, sf).join(size(context, "c"), "sample_id", "left").join(size(answer, "a"), "sample_id", "left")
+    return s.groupBy("task_type", align.status(F.col("c"), F.col("a")).alias("status")).agg(F.count("*").alias("n"))
 
 
 # Similarity: consecutive sentences of benchmark items as names.
 
 _PAIRS = r"""
-WITH p AS (SELECT part_a.p_partkey AS a_id, part_b.p_partkey AS b_id, lower(part_a.p_name) AS a, lower(part_b.p_name) AS b FROM part part_a JOIN part part_b ON part_a.p_brand = part_b.p_brand AND part_a.p_partkey < part_b.p_partkey AND part_b.p_partkey <= part_a.p_partkey + 50)
+WITH p AS (SELECT part_a.p_partkey AS a_id, part_b.p_partkey AS b_id, lower(part_a.p_name) AS a, lower(part_b.p_name) AS b FROM part part_a JOIN part part_b ON part_a.p_brand = part_b.p_brand AND part_a.p_size = part_b.p_size AND part_a.p_partkey < part_b.p_partkey)
 , t AS (SELECT *, list_distinct(regexp_extract_all(a, '[\p{L}\p{N}_]+')) AS x, list_distinct(regexp_extract_all(b, '[\p{L}\p{N}_]+')) AS y, regexp_extract_all(a, '[\p{L}\p{N}_]+') AS tx, regexp_extract_all(b, '[\p{L}\p{N}_]+') AS ty FROM p)
 """
 
 
 def _part_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    p = fx.table(spark, sf, "part").select("p_partkey", "p_brand", F.lower("p_name").alias("name"))
-    a, b = p.toDF("a_id", "brand", "a"), p.toDF("b_id", "b_brand", "b")
-    return a.join(b, (F.col("brand") == F.col("b_brand")) & (F.col("a_id") < F.col("b_id")) & (F.col("b_id") <= F.col("a_id") + 50)).select("a_id", "b_id", "a", "b")
+    """Names of parts of one brand and size, every pair of them."""
+    p = fx.table(spark, sf, "part").select("p_brand", "p_size", "p_partkey", F.lower("p_name").alias("name"))
+    return p.toDF("brand", "size", "a_id", "a").join(p.toDF("brand", "size", "b_id", "b"), ["brand", "size"]).filter("a_id < b_id").select("a_id", "b_id", "a", "b")
 
 
 @_query(_PAIRS + "SELECT a_id, b_id, CASE WHEN len(x) > 0 AND len(y) > 0 THEN round(2.0 * len(list_intersect(x, y)) / (len(x) + len(y)), 6) ELSE 0 END AS f1 FROM t", base=False)
@@ -177,15 +179,16 @@ def containment_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _part_pairs(spark, sf).select("a_id", "b_id", X.containment(F.col("a"), F.col("b")).alias("contained"))
 
 
-@_query(r"""
-, n AS (SELECT DISTINCT sample_id, key FROM entity WHERE side = 'response'), w AS (SELECT sample_id, list_aggregate(list_transform(regexp_extract_all(lower(context[1:200]), '[\p{L}\p{N}_]+'), lambda v: v[1]), 'string_agg', '') AS initials, len(regexp_extract_all(lower(context[1:200]), '[\p{L}\p{N}_]+')) AS k FROM sample)
-SELECT sample_id, key, (k > 1 AND key = initials[1:length(key)])::INT AS starts FROM n JOIN w USING (sample_id)
-""")
+@_query(_PAIRS + """
+, i AS (SELECT a_id, b_id, tx, ty, list_aggregate(list_transform(ty, lambda v: v[1]), 'string_agg', '') AS initials FROM t UNION ALL SELECT a_id, a_id, tx, tx, list_aggregate(list_transform(tx, lambda v: v[1]), 'string_agg', '') FROM (SELECT DISTINCT a_id, tx FROM t))
+SELECT a_id, b_id, CASE WHEN len(tx) > 1 AND list_aggregate(list_transform(tx, lambda v: v[1]), 'string_agg', '') = initials THEN 0.92 ELSE 0.0 END::DOUBLE AS acronym FROM i
+""", base=False)
 def acronym_starts(spark: SparkSession, sf: str) -> DataFrame:
-    words = X.tokens(F.lower(F.substring("context", 1, 200)))
-    w = fx.samples(spark, sf).select("sample_id", F.array_join(F.transform(words, lambda t: F.left(t, F.lit(1))), "").alias("initials"), F.size(words).alias("k"))
-    n = fx.entities(spark, sf).filter("side = 'response'").select("sample_id", "key").distinct()
-    return n.join(w, "sample_id").select("sample_id", "key", ((F.col("k") > 1) & (F.col("key") == F.left("initials", F.char_length("key")))).cast("int").alias("starts"))
+    """Each part's name against its own initials and those of the other parts of its brand and size."""
+    pairs = _part_pairs(spark, sf)
+    pairs = pairs.unionByName(pairs.select("a_id", F.col("a_id").alias("b_id"), "a", F.col("a").alias("b")).distinct())
+    initials = F.array_join(F.transform(X.tokens(F.col("b")), lambda t: F.left(t, F.lit(1))), "")
+    return pairs.select("a_id", "b_id", X.acronym(initials, F.col("a")).alias("acronym"))
 
 
 @_query()
@@ -228,17 +231,29 @@ def benchmark_containment(spark: SparkSession, sf: str) -> DataFrame:
     every place of a document, then the text decides; shorter items are compared by what they have."""
     d = fx.table(spark, sf, "documents").select("doc_id", X.normalize(F.col("text")).alias("t"))
     b = fx.table(spark, sf, "benchmark").select("item_id", X.normalize(F.col("text")).alias("i"))
-    k = 6
-    words = lambda c: F.split(c, " ")
     # The item's first and last word may be cut within a document's word: inner words are compared.
-    long = b.filter(F.size(words(F.col("i"))) >= k + 2).withColumn("h", F.xxhash64(F.array_join(F.slice(words(F.col("i")), 2, k), " ")))
-    n = F.size("w") - k + 1
-    grams = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))
-    at = d.withColumn("w", words(F.col("t"))).select("doc_id", F.explode(F.array_distinct(grams)).alias("h"))
-    cand = at.join(long.select("h", "item_id"), "h").select("doc_id", "item_id").distinct()
-    hits = cand.join(d, "doc_id").join(b, "item_id").filter(F.col("t").contains(F.col("i"))).select("doc_id", "item_id")
-    short = b.filter(F.size(words(F.col("i"))) < k + 2)
-    return hits.unionByName(d.join(short, F.col("t").contains(F.col("i"))).select("doc_id", "item_id"))
+    words = lambda c: F.split(c, " ")
+    b = b.withColumn("k", F.least(F.size(words(F.col("i"))) - 2, F.lit(6)))
+    hits = None
+    for k in sorted(r["k"] for r in b.select("k").distinct().collect()):  # eight sizes at most
+        own = b.filter(F.col("k") == k)
+        if k > 0:
+            keyed = own.withColumn("h", F.xxhash64(F.array_join(F.slice(words(F.col("i")), 2, k), " ")))
+            n = F.size("w") - k + 1
+            grams = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))  # noqa: B023
+            at = d.withColumn("w", words(F.col("t"))).select("doc_id", F.explode(F.array_distinct(grams)).alias("h"))
+            cand = at.join(keyed.select("h", "item_id"), "h").select("doc_id", "item_id").distinct()
+        else:  # one word or two: by their first characters, wherever these stand in a document
+            size = F.least(F.char_length("i"), F.lit(4))
+            keyed = own.select("item_id", size.alias("q"), F.left("i", size).alias("h"))
+            at = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("q"), "t")
+            n = F.char_length("t") - F.col("q") + 1
+            starts = F.when(F.col("q") == 0, F.array(F.lit(1))).when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+            at = at.select("doc_id", "q", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("t", i, F.col("q"))))).alias("h"))
+            cand = at.join(keyed, ["q", "h"]).select("doc_id", "item_id").distinct()
+        found = cand.join(d, "doc_id").join(own, "item_id").filter(F.col("t").contains(F.col("i"))).select("doc_id", "item_id")
+        hits = found if hits is None else hits.unionByName(found)
+    return d.select("doc_id", F.lit(None).cast("long").alias("item_id")).limit(0) if hits is None else hits
 
 
 # Alignment metrics and components.
@@ -256,19 +271,33 @@ def eg_rp(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("sample_id", _r(F.col("eg")).alias("eg"), _r(F.col("rp")).alias("rp"), "missing_eg", "missing_rp", "n_response_relations")
 
 
-@_query()
-def eg_rp_sc(spark: SparkSession, sf: str) -> DataFrame:
-    return align.alignment_metrics(fx.samples(spark, sf).select("sample_id", "task_type"), fx.entities(spark, sf), fx.relations(spark, sf))
-
-
-@_query("""
+_EDGES = """
 , edge AS (SELECT DISTINCT r.sample_id, least(r.head, r.tail) AS a, greatest(r.head, r.tail) AS b FROM relation r JOIN relation c USING (sample_id, relation_id, head, tail) WHERE r.side = 'response' AND c.side = 'context')
 , arc AS (SELECT sample_id, a, b FROM edge UNION SELECT sample_id, b, a FROM edge)
 , reach AS (WITH RECURSIVE w AS (SELECT sample_id, a AS n, a AS m FROM arc UNION SELECT w.sample_id, w.n, arc.b FROM w JOIN arc ON arc.sample_id = w.sample_id AND arc.a = w.m) SELECT * FROM w)
 , comp AS (SELECT sample_id, n, min(m) AS c FROM reach GROUP BY 1, 2), size AS (SELECT sample_id, c, count(*) AS k FROM comp GROUP BY 1, 2)
 , best AS (SELECT sample_id, arg_min(c, (-k, c)) AS c FROM size GROUP BY 1)
-SELECT e.sample_id, count(*) AS largest_edges FROM edge e JOIN comp ON comp.sample_id = e.sample_id AND comp.n = e.a JOIN best ON best.sample_id = comp.sample_id AND best.c = comp.c GROUP BY 1
+, largest AS (SELECT e.sample_id, count(*) AS largest_edges FROM edge e JOIN comp ON comp.sample_id = e.sample_id AND comp.n = e.a JOIN best ON best.sample_id = comp.sample_id AND best.c = comp.c GROUP BY 1)
+"""
+_ALIGNED = _EDGES + """
+, good AS (SELECT r.sample_id FROM relation r WHERE side = 'response' AND EXISTS (SELECT 1 FROM relation c WHERE c.side = 'context' AND c.sample_id = r.sample_id AND c.relation_id = r.relation_id AND c.head = r.head AND c.tail = r.tail))
+, size_of AS (SELECT sample_id, count_if(k = 're') AS ne, count_if(k = 'rr') AS nr, count_if(k = 'ce') AS ce, count_if(k = 'cr') AS cr, count_if(k = 'g') AS g FROM (
+    SELECT sample_id, CASE side WHEN 'response' THEN 're' ELSE 'ce' END AS k FROM entity UNION ALL SELECT sample_id, CASE side WHEN 'response' THEN 'rr' ELSE 'cr' END FROM relation UNION ALL SELECT sample_id, 'g' FROM good) GROUP BY 1)
+, al AS (SELECT s.sample_id, s.task_type, s.hallucinated, s.eg, z.g::DOUBLE / nullif(z.nr, 0) AS rp, coalesce(largest_edges, 0)::DOUBLE / nullif(z.nr, 0) AS sc, coalesce(z.ne, 0) AS ne, coalesce(z.nr, 0) AS nr, coalesce(z.ce, 0) AS ce, coalesce(z.cr, 0) AS cr
+    FROM scored s LEFT JOIN size_of z USING (sample_id) LEFT JOIN largest USING (sample_id))
+"""
+
+
+@_query(_ALIGNED + """
+SELECT sample_id, task_type, round(eg, 6) AS eg, round(rp, 6) AS rp, round(sc, 6) AS sc, nr::BIGINT AS n_response_relations, ce::BIGINT AS n_context_entities, cr::BIGINT AS n_context_relations, ne::BIGINT AS n_response_entities,
+  (eg IS NULL)::INT AS missing_eg, (rp IS NULL)::INT AS missing_rp, (sc IS NULL)::INT AS missing_sc, (ce = 0)::INT AS context_entity_empty, (cr = 0)::INT AS context_relation_empty, (ne = 0)::INT AS response_entity_empty, (nr = 0)::INT AS response_relation_empty FROM al
 """)
+def eg_rp_sc(spark: SparkSession, sf: str) -> DataFrame:
+    m = align.alignment_metrics(fx.samples(spark, sf).select("sample_id", "task_type"), fx.entities(spark, sf), fx.relations(spark, sf), key=X.norm)
+    return m.withColumns({c: _r(F.col(c)) for c in ("eg", "rp", "sc")})
+
+
+@_query(_EDGES + "SELECT sample_id, largest_edges FROM largest")
 def largest_components(spark: SparkSession, sf: str) -> DataFrame:
     r = fx.relations(spark, sf)
     return align.largest_component(align.supported_relations(align.side(r, "response"), align.side(r, "context"), key=X.norm))
@@ -418,14 +447,14 @@ def seeded_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.shuffled(fx.samples(spark, sf), "sample_id", 50).select("sample_id")
 
 
-_ASSIGN = "CASE ascii(md5(source_id)) % 8 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' END"
+_ASSIGN = "CASE ascii(md5(source_id)) % 8 WHEN 0 THEN 'val' WHEN 1 THEN 'test' END"
 
 
 @_query(f"SELECT coalesce({_ASSIGN}, 'train') AS split, task_type, count(*) AS n, count(DISTINCT source_id) AS sources FROM sample GROUP BY ALL")
 def split_assign(spark: SparkSession, sf: str) -> DataFrame:
     s = fx.samples(spark, sf)
     h = F.ascii(F.md5("source_id")) % 8
-    assignment = s.select("source_id").distinct().withColumn("split", F.when(h == 0, "validation").when(h == 1, "test")).filter("split is not null")
+    assignment = s.select("source_id").distinct().withColumn("split", F.when(h == 0, "val").when(h == 1, "test")).filter("split is not null")
     return prepare.assign_splits(s, assignment).groupBy("split", "task_type").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("sources"))
 
 
@@ -451,10 +480,10 @@ def join_many_to_one(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.join(o, fx.table(spark, sf, "customer").withColumnRenamed("c_custkey", "k"), ["k"], require_match=True).select("o_orderkey", "c_name", "o_totalprice")
 
 
-@_query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)", base=False)
+@_query("SELECT d.doc_id AS source_id, d.lang, coalesce(CASE l.toxic WHEN 1 THEN 'toxic' WHEN 0 THEN 'clean' END, '?') AS task_type, coalesce(l.quality::VARCHAR, '{}') AS source_info FROM documents d LEFT JOIN labels l USING (doc_id)", base=False)
 def join_left_defaults(spark: SparkSession, sf: str) -> DataFrame:
-    j = fx.table(spark, sf, "documents").select("doc_id").join(fx.table(spark, sf, "labels"), "doc_id", "left")
-    return j.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+    sources = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("source_id"), F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean").alias("task_type"), F.col("quality").cast("string").alias("source_info"))
+    return prepare.join_sources(fx.table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "lang"), sources, "default")
 
 
 @_query("SELECT a.conv_id, a.turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'", base=False)
@@ -478,15 +507,16 @@ def named_aggregates(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), _r(F.avg("n_chars")).alias("mean_chars"), F.median("n_chars").alias("median_chars"))
 
 
-@_query("SELECT event_type, user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2", base=False)
+@_query("SELECT event_type || '|' || user_id AS k, arg_max(value, event_id) AS e, arg_max(props, event_id) AS t FROM events GROUP BY 1", base=False)
 def last_record_wins(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id"))
+    records = fx.table(spark, sf, "events").select(F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("k"), F.col("value").alias("e"), F.col("props").alias("t"), "event_id")
+    return readers.entity_cache(records, "event_id")
 
 
 @_query("SELECT source_id FROM (SELECT DISTINCT source_id FROM sample WHERE hallucinated = 1 INTERSECT SELECT DISTINCT source_id FROM sample WHERE hallucinated = 0)")
 def shared_sources(spark: SparkSession, sf: str) -> DataFrame:
     s = fx.samples(spark, sf)
-    return s.filter("hallucinated = 1").select("source_id").intersect(s.filter("hallucinated = 0").select("source_id"))
+    return contracts.shared(s.filter("hallucinated = 1"), s.filter("hallucinated = 0"), "source_id")
 
 
 @_query("SELECT sample_id, key FROM ans EXCEPT SELECT sample_id, key FROM ctx")
@@ -549,13 +579,13 @@ def composite_keys(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "documents").select("doc_id", F.concat_ws("::", "source", F.col("doc_id").cast("string")).alias("key"), a.alias("system"), X.normalize_bbcid(b).alias("bbcid"))
 
 
-@_query("SELECT sample_id, side, max(pos) + 1 AS n, '<triplet> ' || arg_min(head_text, pos) AS first FROM relation GROUP BY 1, 2")
+@_query("SELECT sample_id, side, string_agg(head_text || '|' || relation_id || '|' || tail_text, ';' ORDER BY pos) AS triplets FROM relation GROUP BY 1, 2")
 def linearised_relations(spark: SparkSession, sf: str) -> DataFrame:
     r = fx.relations(spark, sf)
     one = F.concat_ws(" ", F.lit("<triplet>"), "head_text", F.lit("<subj>"), "tail_text", F.lit("<obj>"), "relation_id")
     lines = r.groupBy("sample_id", "side").agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("t")))).alias("l"))
     got = lines.select("sample_id", "side", parsing.linearised_triplets(F.array_join(F.transform("l", lambda x: x["t"]), " ")).alias("t"))
-    return got.select("sample_id", "side", F.size("t").cast("long").alias("n"), F.concat(F.lit("<triplet> "), F.get("t", F.lit(0))["subject"]).alias("first"))
+    return got.select("sample_id", "side", F.array_join(F.transform("t", lambda x: F.concat_ws("|", x["subject"], x["relation"], x["object"])), ";").alias("triplets"))
 
 
 @_query()
@@ -590,6 +620,35 @@ def endpoint_ceiling(spark: SparkSession, sf: str) -> DataFrame:
     return align.endpoint_ceiling(gold, align.covered_clusters(answer, clusters, key=lambda c: c)).withColumn("ceiling", _r(F.col("ceiling")))
 
 
+@_query(_CLUSTER + """
+, cov AS (SELECT DISTINCT cl.sample_id, cluster_id FROM cl JOIN ans ON ans.sample_id = cl.sample_id AND ans.key = cl.name)
+SELECT count(*) AS n_gold, count_if(a.cluster_id IS NOT NULL AND b.cluster_id IS NOT NULL)::BIGINT AS n_reachable, round(count_if(a.cluster_id IS NOT NULL AND b.cluster_id IS NOT NULL) / count(*), 6) AS ceiling
+FROM gold g LEFT JOIN cov a ON a.sample_id = g.sample_id AND a.cluster_id = h LEFT JOIN cov b ON b.sample_id = g.sample_id AND b.cluster_id = t
+""")
+def micro_ceiling(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.micro_ceiling(endpoint_ceiling(spark, sf)).withColumn("ceiling", _r(F.col("ceiling")))
+
+
+@_query("SELECT task_type, count(eg) AS n, count_if(eg IS NULL)::BIGINT AS n_missing, round_even(median(eg), 1)::DOUBLE AS median, round_even(avg(eg), 1) AS mean, count_if(eg < 0.5)::BIGINT AS n_below, round_even(100 * count_if(eg < 0.5) / nullif(count(eg), 0), 0) AS pct_below FROM scored GROUP BY 1")
+def global_report(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.global_report(_scored(spark, sf), "eg", 0.5, ["task_type"])
+
+
+@_query("SELECT task_type, round(avg(n_answer), 6) AS n_answer, round(avg(n_shared), 6) AS n_shared, round(avg(eg), 6) AS eg FROM scored GROUP BY 1")
+def column_means(spark: SparkSession, sf: str) -> DataFrame:
+    m = metrics.column_means(_scored(spark, sf), ["task_type"], "n_answer", "n_shared", "eg")
+    return m.withColumns({c: _r(F.col(c)) for c in ("n_answer", "n_shared", "eg")})
+
+
+@_query("""
+SELECT doc_id, json_extract_string(j, '$.text') AS text, score FROM (SELECT doc_id, to_json({'text': source, 'score': NULL}) AS j, 0.0::DOUBLE AS score FROM documents)
+""", base=False)
+def parsed_relations(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.to_json(F.struct(F.lit(0).alias("head_start"), F.char_length("source").alias("head_end"), F.col("source").alias("head_text"), F.lit(0).alias("tail_start"), F.lit(1).alias("tail_end"), F.lit("x").alias("tail_text"), F.lit("part_of").alias("relation_id")))
+    r = parsing.parsed_relation(raw)
+    return fx.table(spark, sf, "documents").select("doc_id", r["head_text"].alias("text"), r["score"].alias("score"))
+
+
 @_query(_CLUSTER + "SELECT a.sample_id, a.key, min(cluster_id) AS cluster_id FROM ans a JOIN cl ON cl.sample_id = a.sample_id AND cl.name = a.key GROUP BY 1, 2 HAVING count(DISTINCT cluster_id) = 1")
 def unique_alignment(spark: SparkSession, sf: str) -> DataFrame:
     clusters, _ = _clusters(spark, sf)
@@ -608,14 +667,17 @@ def mapped_gold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query(_CLUSTER + """
-, aligned AS (SELECT DISTINCT r.sample_id, a.cluster_id AS h, r.relation_id AS r, b.cluster_id AS t FROM relation r LEFT JOIN cl a ON a.sample_id = r.sample_id AND a.name = r.head LEFT JOIN cl b ON b.sample_id = r.sample_id AND b.name = r.tail WHERE side = 'response' AND a.cluster_id <> b.cluster_id)
-SELECT g.sample_id, count(a.h)::BIGINT AS tp, count(*) - count(a.h) AS fn FROM (SELECT DISTINCT sample_id, h, r, t FROM gold) g LEFT JOIN aligned a ON a.sample_id = g.sample_id AND a.h = g.h AND a.r = g.r AND a.t = g.t GROUP BY 1
+, rel AS (SELECT r.sample_id, r.head, r.relation_id AS r, r.tail, a.cluster_id AS h, b.cluster_id AS t FROM relation r LEFT JOIN cl a ON a.sample_id = r.sample_id AND a.name = r.head LEFT JOIN cl b ON b.sample_id = r.sample_id AND b.name = r.tail WHERE side = 'response')
+, lost AS (SELECT sample_id, count(*) AS n FROM (SELECT DISTINCT sample_id, head, r, tail FROM rel WHERE h IS NULL OR t IS NULL OR h = t) GROUP BY 1)
+, m AS (SELECT coalesce(g.sample_id, p.sample_id) AS sample_id, count_if(g.h IS NOT NULL AND p.h IS NOT NULL) AS tp, count_if(g.h IS NULL) AS fp, count_if(p.h IS NULL) AS fn
+    FROM gold g FULL JOIN (SELECT DISTINCT sample_id, h, r, t FROM rel WHERE h <> t) p ON p.sample_id = g.sample_id AND p.h = g.h AND p.r = g.r AND p.t = g.t GROUP BY 1)
+SELECT coalesce(m.sample_id, lost.sample_id) AS sample_id, coalesce(tp, 0)::BIGINT AS tp, (coalesce(fp, 0) + coalesce(n, 0))::BIGINT AS fp, coalesce(fn, 0)::BIGINT AS fn FROM m FULL JOIN lost ON lost.sample_id = m.sample_id
 """)
 def document_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     clusters, gold = _clusters(spark, sf)
     rel = align.side(fx.relations(spark, sf), "response").withColumn("head_text", X.norm(F.col("head_text"))).withColumn("tail_text", X.norm(F.col("tail_text")))
     predicted = align.aligned_triples(rel, clusters, key=lambda c: c)
-    return metrics.set_prf(predicted, gold.select("sample_id", F.col("h").cast("long").alias("h"), "r", F.col("t").cast("long").alias("t")), ["sample_id", "h", "r", "t"]).filter("tp + fn > 0").select("sample_id", "tp", "fn")
+    return metrics.set_prf(predicted, gold.select("sample_id", F.col("h").cast("long").alias("h"), "r", F.col("t").cast("long").alias("t")), ["sample_id", "h", "r", "t"]).select("sample_id", "tp", "fp", "fn")
 
 
 @_query()
@@ -631,24 +693,24 @@ _W, _B = (0.8, -1.5), 0.25
 
 @_query("SELECT sample_id, round(1 / (1 + exp(-(0.25 + 0.8 * ln(1 + n_answer - n_shared) - 1.5 * coalesce(eg, 0)))), 6) AS risk_score, (1 / (1 + exp(-(0.25 + 0.8 * ln(1 + n_answer - n_shared) - 1.5 * coalesce(eg, 0)))) >= 0.5)::INT AS prediction FROM scored")
 def score_fixed_coefs(spark: SparkSession, sf: str) -> DataFrame:
-    z = _B + _W[0] * F.log1p(F.col("n_answer") - F.col("n_shared")) + _W[1] * F.coalesce("eg", F.lit(0.0))
-    return _scored(spark, sf).select("sample_id", _r(X.sigmoid(z)).alias("risk_score"), (X.sigmoid(z) >= 0.5).cast("int").alias("prediction"))
+    rows = _scored(spark, sf).withColumns({"x1": F.log1p(F.col("n_answer") - F.col("n_shared")), "x2": F.coalesce("eg", F.lit(0.0)), "can_predict": F.lit(1)})
+    models = {t: model.Logistic(["x1", "x2"], [0.0, 0.0], [1.0, 1.0], [*_W], _B) for t in TASKS}
+    return model.predict(rows, models).select("sample_id", _r(F.col("risk_score")).alias("risk_score"), "prediction")
 
 
-@_query(", m AS (SELECT coalesce(median(1 - eg), 0.5) AS v FROM scored) SELECT sample_id, round(coalesce(1 - eg, v), 6) AS risk_eg, (eg IS NULL)::INT AS missing_eg FROM scored, m")
+@_query(_ALIGNED + """
+, m AS (SELECT coalesce(median(1 - eg), 0.5) AS e, coalesce(median(1 - rp), 0.5) AS r, coalesce(median(1 - sc), 0.5) AS c FROM al)
+SELECT sample_id, round(coalesce(1 - eg, e), 6) AS risk_eg, round(coalesce(1 - rp, r), 6) AS risk_rp, round(coalesce(1 - sc, c), 6) AS risk_sc, (eg IS NULL)::INT AS missing_eg, (rp IS NULL)::INT AS missing_rp, (sc IS NULL)::INT AS missing_sc FROM al, m
+""")
 def impute_missing(spark: SparkSession, sf: str) -> DataFrame:
-    s = _scored(spark, sf).withColumns({"rp": F.lit(None).cast("double"), "sc": F.lit(None).cast("double")})
-    return model.detector_features(s, model.impute_medians(s)).select("sample_id", _r(F.col("risk_eg")).alias("risk_eg"), "missing_eg")
+    s = align.alignment_metrics(fx.samples(spark, sf).select("sample_id"), fx.entities(spark, sf), fx.relations(spark, sf), key=X.norm)
+    out = model.detector_features(s.drop("missing_eg", "missing_rp", "missing_sc"), model.impute_medians(s))
+    return out.select("sample_id", *[_r(F.col(f"risk_{x}")).alias(f"risk_{x}") for x in ("eg", "rp", "sc")], *[f"missing_{x}" for x in ("eg", "rp", "sc")])
 
 
 @_query()
-def fit_irls(spark: SparkSession, sf: str) -> DataFrame:
-    """Coefficients of the task models, fitted on the native features (exact support in place of fuzzy one)."""
-    s = _scored(spark, sf).withColumn("x1", F.log1p(F.col("n_answer") - F.col("n_shared"))).withColumn("x2", F.coalesce("eg", F.lit(0.0)))
-    rows = []
-    for task in TASKS:
-        part = s.filter(F.col("task_type") == task)
-        if part.select("hallucinated").distinct().count() == 2:
-            m = model.fit_balanced(part, ["x1", "x2"], "hallucinated", 0.1)
-            rows += [(task, f, float(w)) for f, w in zip([*m.features, "intercept"], [*m.weights, m.intercept])]
-    return spark.createDataFrame(rows, "task_type string, feature string, standardized_coefficient double")
+def task_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Risk of every sample by the model of its task, fitted on the feature rows; a task with one class has none."""
+    y = fx.samples(spark, sf).select("sample_id", "hallucinated")
+    rows = align.feature_rows(fx.samples(spark, sf), fx.entities(spark, sf), fx.relations(spark, sf)).join(y, "sample_id").persist()
+    return model.predict(rows, model.fit_tasks(rows)).select("sample_id", "task_type", "status", _r(F.col("risk_score")).alias("risk_score"), "prediction")

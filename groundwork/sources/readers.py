@@ -44,7 +44,7 @@ def jsonl(spark: SparkSession, path: str, schema: str, mode: str = "strict") ->
         lines = lines.filter(~bad)
         return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
     text = F.when(bad, F.raise_error(F.concat(F.lit("bad JSON in "), F.col("__file"), F.lit(": "), F.left("value", F.lit(80)))).cast("string")).otherwise(F.col("value"))
-    return lines.select(F.from_json(text, schema).alias("r")).select("r.*")
+    return lines.select(F.from_json(text, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")  # also for values of another type
 
 
 def bad_lines(spark: SparkSession, path: str) -> int:

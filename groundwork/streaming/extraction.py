@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import pandas as pd
+from groundwork.constants import ENTITY_LABELS, RELATION_THRESHOLDS, RELATIONS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,23 @@ def extract(samples: DataFrame, make: Callable[[], Extractor], batch: int = 8, s
     return samples.select("sample_id", "task_type", *sides).mapInPandas(run, schema)
 
 
+def by_task(make: Callable[[Sequence[str], Sequence[str], float], Extractor], labels: Sequence[str] = ENTITY_LABELS, thresholds: dict[str, float] = RELATION_THRESHOLDS) -> Callable[[], Extractor]:
+    """Extractors set up as the corpora are: entity labels for all, relation labels and least score by task.
+    make gets (entity labels, relation labels, least relation score) and is called once for a task and worker."""
+
+    def made() -> Extractor:
+        of: dict[str, Extractor] = {}
+
+        def run(texts: Sequence[str], task: str) -> list[Graph]:
+            if task not in of:
+                of[task] = make(labels, [text for _, text in RELATIONS[task]], thresholds[task])
+            return of[task](texts, task)
+
+        return run
+
+    return made
+
+
 def remaining(samples: DataFrame, done: DataFrame) -> DataFrame:
     """Samples that are not done yet."""
     return samples.join(done.select("sample_id").distinct(), "sample_id", "left_anti")

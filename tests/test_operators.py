@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundwork import contracts
+from groundwork import contracts, schemas
 from groundwork.constants import FEATURES
 from groundwork.operators import align, graphs, metrics, model, prepare, sampling, windows
 
@@ -175,7 +175,7 @@ def test_manifest_split(spark):
     digest = hashlib.sha256("s0\ns1\ns2\ns3".encode()).hexdigest()
     schema = "datasets map<string,struct<source_count:int,source_ids_sha256:string,validation:array<string>,test:array<string>>>"
     m = spark.createDataFrame([({"d": (4, digest, ["s1"], ["s2"])},)], schema)
-    assert rows(prepare.split_by_manifest(s, m, "d").groupBy("split").count()) == [("test", 2), ("train", 4), ("validation", 2)]
+    assert rows(prepare.split_by_manifest(s, m, "d").groupBy("split").count()) == [("test", 2), ("train", 4), ("val", 2)]
     with pytest.raises(contracts.ContractError):
         prepare.split_by_manifest(s.filter("source_id <> 's0'"), m, "d")
 
@@ -201,8 +201,11 @@ def test_windows_cover_and_advance(spark):
     assert {i for _, a, b, *_ in got for i in range(a, b)} >= {i for a, b in spans for i in range(a, b) if not text[i].isspace()}
     assert windows.single_pass(text, windows.word_limit(5))[0] == "One two. Three four five!"
     assert windows.single_pass(text, windows.word_limit(99))[0] == text
-    with pytest.raises(ValueError, match="not even"):
-        list(windows.overlapping(text, lambda *a: False))
+    with pytest.raises(ValueError, match="exceeds"):
+        windows.overlapping(text, lambda *a: False)
+    long = "One two. " + "x" * 25 + " Three four. Five."
+    assert [w[1:] for w in windows.overlapping(long, lambda t, a, b: b - a <= 10)] == [(0, 8, 0, 1), (9, 19, 1, 2), (19, 29, 1, 2), (29, 39, 1, 2), (39, 46, 1, 2), (47, 52, 2, 3)]
+    assert [w[3:] for w in windows.overlapping("A b. C d. E f. G h. I j. K l.", windows.word_limit(10))] == [(0, 5), (4, 6), (5, 6)]
     b = spark.range(1).select(windows.batches_of(F.array(*map(F.lit, range(5))), 2).alias("b")).first()["b"]
     assert b == [[0, 1], [2, 3], [4]]
 
@@ -255,3 +258,50 @@ def test_nested_folds_predict_every_row_once(spark):
     assert out.count() == 48
     assert out.select("sample_id").distinct().count() == 48
     assert len(folds) == 2
+
+
+def test_graphs_come_together_again_in_order(spark):
+    kind = "sample_id string, task_type string, " + ", ".join(f"{s}_graph {schemas.GRAPH}" for s in ("context", "response"))
+    e = lambda a, t: {"start": a, "end": a + 1, "text": t, "label": "x", "score": 1.0}
+    r = lambda a, b, i: {"head_start": a, "head_end": a + 1, "head_text": "h", "tail_start": b, "tail_end": b + 1, "tail_text": "t", "relation_id": i, "score": 0.5}
+    full = {"entities": [e(5, "b"), e(1, "a"), e(5, "c")], "relations": [r(5, 1, "z"), r(1, 5, "y"), r(1, 5, "x")]}
+    pairs = spark.createDataFrame([("s", "QA", full, {"entities": [], "relations": []})], kind)
+    got = graphs.assembled(pairs, *graphs.explode_graphs(pairs)).first()
+    assert [x["text"] for x in got["context_graph"]["entities"]] == ["a", "b", "c"]
+    assert [x["relation_id"] for x in got["context_graph"]["relations"]] == ["x", "y", "z"]
+    assert got["response_graph"]["entities"] == got["response_graph"]["relations"] == []
+
+
+def test_names_and_triplets_of_gold_clusters(spark):
+    d = spark.createDataFrame([([["Ann", "she"], [], ["Bo"]], [(0, "p", 2), (2, "q", 1)], [" Ann ", "x"], ["Ann", "Bob"])], "c array<array<string>>, r array<struct<h:int,r:string,t:int>>, a array<string>, b array<string>")
+    d = d.withColumn("n", graphs.first_mentions(F.col("c")))
+    got = d.select("n", graphs.gold_triplets(F.col("n"), F.col("r")).alias("t"), graphs.name_sets(F.col("a"), F.col("b")).alias("s")).first()
+    assert got["n"] == ["ann", None, "bo"]
+    assert [tuple(x) for x in got["t"]] == [("ann", "p", "bo"), ("bo", "q", None)]
+    assert got["s"] == ["Ann", "Bob"]
+
+
+def test_wide_and_folded_letters_are_one_name(spark):
+    from groundwork.functions import text as X
+
+    texts = ["ＵＳ", "Straße ÉCOLE", "ﬁn", "ΣΊΣΥΦΟΣ", "K", "ı İ x", "①  ②"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.norm(F.col("t")).alias("a"), X.norm_exact(F.col("t")).alias("b")).collect()
+    assert [r["a"] for r in rows if "İ" not in r["t"]] == [r["b"] for r in rows if "İ" not in r["t"]]
+    assert rows[0]["a"] == "us"
+
+
+def test_runs_for_every_combination(spark):
+    from groundwork.operators import model
+
+    d = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0), (None, 1, 5.0)], "t string, m int, x double")
+    got = model.for_each(d, ["t", "m"], lambda part: part.agg(F.sum("x").alias("x")))
+    assert sorted(map(tuple, got.collect()), key=str) == [(2.0, "a", 1), (3.0, "a", 2), (5.0, None, 1)]
+
+
+def test_extractors_are_set_up_by_task():
+    from groundwork.streaming import extraction
+
+    seen = []
+    run = extraction.by_task(lambda labels, relations, least: seen.append((len(labels), len(relations) > 0, least)) or (lambda texts, task: [task] * len(texts)))()
+    assert run(["a", "b"], "QA") + run(["c"], "QA") + run(["d"], "XSum") == ["QA", "QA", "QA", "XSum"]
+    assert seen == [(10, True, 0.7), (10, True, 0.3)]
