@@ -93,7 +93,8 @@ def _swept(todo: DataFrame, gaps: DataFrame, ranges: int, longest: int, capacity
         }
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int32() if k in ("what", "part") else pa.int64()) for k, x in names.items()], list(names))
 
-    return items.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(run, _SWEPT)
+    dealt = items.repartitionByRange(ranges, *order) if ranges > 1 else items.coalesce(1)
+    return dealt.sortWithinPartitions(*order).mapInArrow(run, _SWEPT)
 
 
 def _crossed(swept: DataFrame, found: list[tuple], capacity: int) -> DataFrame:
