@@ -17,17 +17,6 @@ def side(df: DataFrame, name: str) -> DataFrame:
     return df.filter(F.col("side") == name).drop("side")
 
 
-def name_support(names: DataFrame, context: DataFrame) -> DataFrame:
-    """(sample_id, key, support): the best similarity of each name to any context name of its sample, 0 without
-    one. names, context: (sample_id, key), distinct. Names found as they are need no comparison."""
-    exact = names.join(context, ["sample_id", "key"], "left_semi").withColumn("support", F.lit(1.0))
-    open_ = names.join(context, ["sample_id", "key"], "left_anti")
-    pairs = open_.select("sample_id", F.col("key").alias("left_name")).join(context.select("sample_id", F.col("key").alias("right_name")), "sample_id")
-    best = with_similarity(pairs, "left_name", "right_name").groupBy("sample_id", F.col("left_name").alias("key")).agg(F.max("similarity").alias("support"))
-    scored = open_.join(best, ["sample_id", "key"], "left").select("sample_id", "key", F.coalesce("support", F.lit(0.0)).alias("support"))
-    return exact.select("sample_id", "key", "support").unionByName(scored)
-
-
 def weighted_bad_rate(confidence, bad):
     """Share of confidence on bad rows: 0 without rows, their plain share where all confidences are 0."""
     total = F.sum(confidence)
@@ -40,32 +29,46 @@ def status(context_names: Column, response_names: Column) -> Column:
     return F.when(none(context_names), "no_context_entities").when(none(response_names), "no_response_entities").otherwise("predicted")
 
 
-def feature_rows(samples: DataFrame, entities: DataFrame, relations: DataFrame, key=X.norm) -> DataFrame:
-    """The 17-column feature row of every sample (sample_id, task_type), from long graph tables."""
-    ents = graphs.graph_entities(entities, relations, key)
-    context, response = side(ents, "context"), side(ents, "response")
-    context_names = context.select("sample_id", "key")
-    rel = side(relations, "response").select("sample_id", key(F.col("head_text")).alias("head"), "relation_id", key(F.col("tail_text")).alias("tail"))
-    ends = rel.select("sample_id", F.explode(F.array("head", "tail")).alias("key"))
-    support = name_support(response.select("sample_id", "key").unionByName(ends).distinct(), context_names)
-
-    c = context.groupBy("sample_id").agg(F.count("*").alias("nc"), F.coalesce(F.avg(F.when(F.col("score") > 0, F.col("score"))), F.lit(0.0)).alias("cc"))
-    r = response.join(support, ["sample_id", "key"]).withColumn("bad", F.col("support") < ENTITY_MATCH_THRESHOLD)
-    r = r.join(context_names.withColumn("known", F.lit(True)), ["sample_id", "key"], "left")
-    r = r.groupBy("sample_id").agg(
-        F.count("*").alias("nr"), weighted_bad_rate(F.col("score"), F.col("bad")).alias("weighted"), F.avg(F.col("bad").cast("double")).alias("fuzzy"), F.coalesce(F.avg(F.when(F.col("score") > 0, F.col("score"))), F.lit(0.0)).alias("rc"),
-        F.count_if(F.col("known").isNull()).alias("unknown"), F.min("support").alias("least"), F.avg("support").alias("mean"),
+def supported_names(names: DataFrame) -> DataFrame:
+    """names (graphs.names_by_side) with the support of response names; null for names of the context alone."""
+    in_context, in_response = F.col("context").isNotNull(), F.col("response").isNotNull()
+    open_ = names.filter(in_response & ~in_context).select("sample_id", F.col("key").alias("left_name"))
+    pairs = open_.join(names.filter(in_context).select("sample_id", F.col("key").alias("right_name")), "sample_id")
+    best = with_similarity(pairs, "left_name", "right_name").groupBy("sample_id", F.col("left_name").alias("key")).agg(F.max("similarity").alias("best"))
+    support = F.when(in_response & in_context, 1.0).when(in_response, F.coalesce("best", F.lit(0.0)))
+    return names.join(best, ["sample_id", "key"], "left").select("sample_id", "key", "context", "response", support.alias("support"))
+
+
+def feature_rows(samples: DataFrame, entities: DataFrame, relations: DataFrame, key=X.norm, names: DataFrame | None = None) -> DataFrame:
+    """The 17-column feature row of every sample (sample_id, task_type), from long graph tables.
+
+    names: supported_names of the graphs, if at hand. They are read three times, so a caller with a place for
+    tables hands in a written or persisted one. Each triple is looked up once, however often it comes."""
+    names = supported_names(graphs.names_by_side(entities, relations, key)) if names is None else names
+    in_context, in_response = F.col("context").isNotNull(), F.col("response").isNotNull()
+    bad = F.col("support") < ENTITY_MATCH_THRESHOLD
+    of_response = lambda x: F.when(in_response, x)
+    scored = lambda score: F.coalesce(F.avg(F.when(F.col(score) > 0, F.col(score))), F.lit(0.0))
+    n = names.groupBy("sample_id").agg(
+        F.count("context").alias("nc"), scored("context").alias("cc"), F.count("response").alias("nr"), scored("response").alias("rc"),
+        weighted_bad_rate(F.col("response"), bad).alias("weighted"), F.avg(of_response(bad.cast("double"))).alias("fuzzy"),
+        F.count_if(in_response & ~in_context).alias("unknown"), F.min("support").alias("least"), F.avg("support").alias("mean"),
     )
-    at = lambda end: support.select("sample_id", F.col("key").alias(end), F.col("support").alias(f"{end}_s"))
+
+    triples = graphs.counted_triples(side(relations, "response"), key)
+    for end in ("head", "tail"):
+        found = names.select("sample_id", F.col("key").alias(end), F.coalesce("support", F.lit(0.0)).alias(f"{end}_s"), in_context.alias(f"{end}_known"))
+        triples = triples.join(found, ["sample_id", end], "left")
     poor = lambda end: F.coalesce(F.col(f"{end}_s"), F.lit(0.0)) < ENTITY_MATCH_THRESHOLD
-    fuzzy = rel.join(at("head"), ["sample_id", "head"], "left").join(at("tail"), ["sample_id", "tail"], "left").groupBy("sample_id").agg(F.avg((poor("head") | poor("tail")).cast("double")).alias("fuzzy_rel"))
-    strict = strict_novel(relations, context_names, key)
+    novel = ~F.coalesce("head_known", F.lit(False)) | ~F.coalesce("tail_known", F.lit(False))
+    t = triples.groupBy("sample_id").agg(
+        F.count("*").alias("n_triples"), F.avg(novel.cast("double")).alias("novel_rate"),
+        (F.sum(F.when(poor("head") | poor("tail"), F.col("n")).otherwise(0)) / F.sum("n")).alias("fuzzy_rel"),
+    )
 
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     none = lambda name: F.coalesce(F.col(name), F.lit(0.0))
-    out = samples.select("sample_id", "task_type")
-    for part in (c, r, fuzzy, strict):
-        out = out.join(part, "sample_id", "left")
+    out = samples.select("sample_id", "task_type").join(n, "sample_id", "left").join(t, "sample_id", "left")
     state = status(F.col("nc"), F.col("nr"))
     return out.select(
         "sample_id", "task_type", state.alias("status"), (state == "predicted").cast("int").alias("can_predict"), zero("nc").alias("context_entity_count"), zero("nr").alias("response_entity_count"), zero("n_triples").alias("response_relation_count"),

@@ -65,9 +65,19 @@ def graph_entities(entities: DataFrame, relations: DataFrame, key=X.norm) -> Dat
     return named.unionByName(ends).filter("key <> ''").groupBy("sample_id", "side", "key").agg(F.max("score").alias("score"))
 
 
+def names_by_side(entities: DataFrame, relations: DataFrame, key=X.norm) -> DataFrame:
+    """(sample_id, key, context, response): each distinct name once, with its best score on either side, null where
+    it isn't; ends of relations that no entity names have score 0."""
+    ends = relations.select("sample_id", "side", F.explode(F.array("head_text", "tail_text")).alias("text"), F.lit(0.0).alias("score"))
+    both = entities.select("sample_id", "side", "text", F.coalesce("score", F.lit(0.0)).alias("score")).unionByName(ends)
+    keyed = both.select("sample_id", "side", key(F.col("text")).alias("key"), "score").filter("key <> ''")
+    best = lambda side: F.max(F.when(F.col("side") == side, F.col("score"))).alias(side)
+    return keyed.filter(F.col("side").isin("context", "response")).groupBy("sample_id", "key").agg(best("context"), best("response"))
+
+
 def canonical_ends(head: Column, relation_id: Column, tail: Column) -> tuple[Column, Column]:
-    """Ends in order for symmetric relations."""
-    both = relation_id.isin(*SYMMETRIC_RELATIONS)
+    """Ends in order for symmetric relations; a null end stays where it is."""
+    both = relation_id.isin(*SYMMETRIC_RELATIONS) & head.isNotNull() & tail.isNotNull()
     return F.when(both, F.least(head, tail)).otherwise(head), F.when(both, F.greatest(head, tail)).otherwise(tail)
 
 
@@ -77,6 +87,12 @@ def unique_triples(relations: DataFrame, key=X.norm) -> DataFrame:
     return relations.select("sample_id", "side", h.alias("head"), "relation_id", t.alias("tail")).distinct()
 
 
+def counted_triples(relations: DataFrame, key=X.norm) -> DataFrame:
+    """(sample_id, head, relation_id, tail, n) of the relations of one side, symmetric ones in one direction."""
+    h, t = canonical_ends(key(F.col("head_text")), F.col("relation_id"), key(F.col("tail_text")))
+    return relations.select("sample_id", h.alias("head"), "relation_id", t.alias("tail")).groupBy("sample_id", "head", "relation_id", "tail").agg(F.count("*").alias("n"))
+
+
 def label_to_id(label: Column, task: Column, on_unknown: str = "error") -> Column:
     """Relation id of a model's label in a task's schema. on_unknown: error, drop (null) or unmapped
     ("UNMAPPED::" and the label)."""

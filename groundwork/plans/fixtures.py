@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions.text import norm
-from groundwork.operators import prepare
+from groundwork.operators import align, graphs, prepare
 
 TASK_OF_LANGUAGE = {"en": "QA", "de": "Data2txt", "fr": "Summary", "es": "XSum"}
 RELATION_IDS = ("part_of", "located_in", "spouse_of", "member_of")
@@ -69,6 +69,12 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("sample_id", "side", "pos", F.col("text").alias("head_text"), F.get(F.array(*map(F.lit, RELATION_IDS)), number).alias("relation_id"), "tail_text", "score")
 
 
+@_once
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, key, context, response, support."""
+    return align.supported_names(graphs.names_by_side(entities(spark, sf_dir), relations(spark, sf_dir)))
+
+
 SQL = r"""
 WITH sample AS (
   SELECT d.doc_id::VARCHAR AS sample_id, d.source AS source_id,

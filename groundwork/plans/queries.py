@@ -305,7 +305,7 @@ def largest_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query()
 def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return align.feature_rows(fx.samples(spark, sf), fx.entities(spark, sf), fx.relations(spark, sf))
+    return align.feature_rows(fx.samples(spark, sf), fx.entities(spark, sf), fx.relations(spark, sf), names=fx.names(spark, sf))
 
 
 # Ranking and classification.
@@ -712,5 +712,5 @@ def impute_missing(spark: SparkSession, sf: str) -> DataFrame:
 def task_models(spark: SparkSession, sf: str) -> DataFrame:
     """Risk of every sample by the model of its task, fitted on the feature rows; a task with one class has none."""
     y = fx.samples(spark, sf).select("sample_id", "hallucinated")
-    rows = align.feature_rows(fx.samples(spark, sf), fx.entities(spark, sf), fx.relations(spark, sf)).join(y, "sample_id").persist()
+    rows = align.feature_rows(fx.samples(spark, sf), fx.entities(spark, sf), fx.relations(spark, sf), names=fx.names(spark, sf)).join(y, "sample_id").persist()
     return model.predict(rows, model.fit_tasks(rows)).select("sample_id", "task_type", "status", _r(F.col("risk_score")).alias("risk_score"), "prediction")
