@@ -8,7 +8,7 @@ more. LEAST does not grow with the table, so what the tree holds does.
 A state's distribution is smoothed towards its suffix's, (c + m p) / (n + m) with m = n ** SHARE. A token is
 scored in the state of its longest suffix, of DEPTH words at most.
 
-Nothing of the tree is held in one place. Texts become blocks of some hundred thousand tokens, written once.
+Nothing of the tree is held in one place. Texts become blocks of a million tokens or two, written once.
 For each depth a block asks about its distinct (context, next) pairs with what it counted of them; requests
 meet by context in bounded buckets, are summed over all blocks, and each block gets its answers back: the sums
 and which contexts are states, from which it works out the probabilities itself. Words are numbered by
@@ -20,12 +20,12 @@ the outcome goes to the blocks that asked.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ from . import common
 
 DEPTH, LEAST, EPSILON, SHARE, GRID = 3, 24, 0.01, 0.7, 256
 #: Tokens in a block; occurrences from which a context is dealt by its next symbols; tokens for each bucket of requests.
-BLOCK, HOT, BUCKET = 800_000, 1_000_000, 2_500_000
+BLOCK, HOT, BUCKET = 1_600_000, 1_000_000, 2_500_000
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds white space
 
 _REPLY = "block long, bucket int, level int, reply binary, n long, v long, gain double"
@@ -98,18 +98,18 @@ def _numbers(data: bytes, kind) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    out = []
+    out, compress = [], zstandard.ZstdCompressor(3).compress
     for x in arrays:
-        data = zlib.compress(_octets(x).tobytes(), 1)
+        data = compress(_octets(x).tobytes())
         out += [np.uint64(len(data)).tobytes(), data]
     return b"".join(out)
 
 
 def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
-    out, at = [], 0
+    out, at, decompress = [], 0, zstandard.ZstdDecompressor().decompress
     for kind in kinds:
         n = int(np.frombuffer(data, np.uint64, 1, at)[0])
-        out.append(_numbers(zlib.decompress(data[at + 8 : at + 8 + n]), kind))
+        out.append(_numbers(decompress(data[at + 8 : at + 8 + n]), kind))
         at += 8 + n
     return out
 
