@@ -153,7 +153,7 @@ class _Walk:
     def words_asked(self, buckets: int) -> dict[int, bytes]:
         n = np.bincount(self.tokens[self.learn], minlength=len(self.words)).astype(np.uint32)
         cuts = np.searchsorted(_bucket(self.words, buckets), np.arange(buckets + 1)).tolist()
-        return {b: _pack(self.words[lo:hi], n[lo:hi]) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi}
+        return {b: _pack(_steps(self.words[lo:hi], np.zeros(1, int)), n[lo:hi]) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi}
 
     def words_told(self, replies: dict[int, bytes], total: int, distinct: int) -> None:
         got = [_unpack(replies[b], np.uint64, np.uint64) for b in sorted(replies)]
@@ -206,7 +206,8 @@ class _Walk:
         self.run_ctx, self.run_length, self.run_bucket = c[begin][rows], run[rows], bucket[rows]
         self.place = by_run[_ranges(begin[rows], self.run_length)]
 
-    def pairs_asked(self, buckets: int) -> dict[int, bytes]:
+    def pairs_asked(self, buckets: int, level: int) -> dict[int, bytes]:
+        """Parents come with each pair; at level 1 they hang on the next word alone, and come once for each."""
         self.pairs(buckets)
         cuts = np.searchsorted(self.run_bucket, np.arange(buckets + 1)).tolist()
         ends = np.concatenate([[0], np.cumsum(self.run_length)])
@@ -217,7 +218,8 @@ class _Walk:
                 starts = np.cumsum(length) - length
                 hot = np.flatnonzero(self.times[c] >= HOT)
                 next_ = self.number[self.pair_next[own]].astype(np.uint64)
-                out[b] = _pack(_steps(self.names[c], np.zeros(1, int)), length.astype(np.uint32), hot.astype(np.uint32), self.times[c[hot]].astype(np.uint64), _steps(next_, starts), self.own[own], _steps(self.parent[own], starts))
+                parent = _steps(self.parent[own], starts) if level > 1 else _steps(self.parent[own[np.unique(next_, return_index=True)[1]]], np.zeros(1, int))
+                out[b] = _pack(_steps(self.names[c], np.zeros(1, int)), length.astype(np.uint32), hot.astype(np.uint32), self.times[c[hot]].astype(np.uint64), _steps(next_, starts), self.own[own], parent)
         return out
 
     def pairs_told(self, replies: dict[int, bytes], hot: set[int], buckets: int) -> None:
@@ -256,7 +258,7 @@ def _answer(bucket: int, level: int, **what) -> dict:
 def _merge_words(table: pa.Table, bucket: int, buckets: int) -> list[dict]:
     """A reply has a number and a count for each word. Numbers follow frequency within a bucket."""
     parts = [_unpack(x, np.uint64, np.uint32) for x in table.column("payload").to_pylist()]
-    u, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    u, inverse = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
     total = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(u)).astype(np.uint64)
     number = np.empty(len(u), np.uint64)
     number[np.argsort(-total.astype(np.int64), kind="stable")] = np.arange(len(u), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
@@ -279,12 +281,16 @@ def _merge_pairs(table: pa.Table, bucket: int, level: int) -> list[dict]:
         hot[mine], n[mine] = True, p[3]
         at += len(p[1])
     run = np.repeat(of, np.concatenate(lengths))
-    word = np.concatenate([_walked(p[4], x) for p, x in zip(parts, lengths)])
-    _, word = np.unique(word, return_inverse=True)
+    words = [_walked(p[4], x) for p, x in zip(parts, lengths)]
+    if level > 1:
+        parents = [_walked(p[6], x) for p, x in zip(parts, lengths)]
+    else:
+        parents = [np.cumsum(p[6])[np.unique(w, return_inverse=True)[1]] for p, w in zip(parts, words)]
+    _, word = np.unique(np.concatenate(words), return_inverse=True)
     u, one, inverse = np.unique(run * (int(word.max()) + 1) + word, return_index=True, return_inverse=True)
     c = np.bincount(inverse, np.concatenate([p[5] for p in parts]), len(u))
     run, sizes = run[one], [len(p[4]) for p in parts]
-    p = np.exp(np.concatenate([_walked(p[6], x) for p, x in zip(parts, lengths)])[one] / GRID)
+    p = np.exp(np.concatenate(parents)[one] / GRID)
     n = np.where(hot, n, np.bincount(run, c, len(names)))
     m = n[run] ** SHARE
     gain = np.where(c > 0, c * (np.log((np.maximum(c - 1, 0) + m * p) / np.maximum(n[run] - 1 + m, 1)) - np.log(p)), 0)
@@ -355,7 +361,7 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
         return walk
 
     def asked(walk: _Walk, block: int, level: int) -> pa.Table:
-        got = walk.words_asked(buckets) if level == 0 else walk.pairs_asked(buckets)
+        got = walk.words_asked(buckets) if level == 0 else walk.pairs_asked(buckets, level)
         return pa.table({"block": [block] * len(got), "bucket": list(got), "payload": list(got.values())}, schema)
 
     def together(columns: list[str], replies: DataFrame, function, out: str) -> DataFrame:
