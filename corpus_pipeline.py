@@ -9,6 +9,8 @@ from groundwork.llm import common, exact, language, packing, simhash, toxicity
 
 #: Least posterior of a document's language.
 LEAST_SCORE = 0.5
+#: Words of 64 rows' verdicts that are broadcast at most; one takes some 64 bytes of memory.
+WORDS = 1 << 20
 
 
 def _passing(docs: DataFrame, predict, model, condition) -> DataFrame:
@@ -34,16 +36,41 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _passing(docs, toxicity.predict, model, F.col("score") < 0.5)
 
 
+def _parquet(docs: DataFrame) -> bool:
+    """Whether docs is what Parquet files hold, row by row."""
+    plan = docs._jdf.queryExecution().analyzed()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and str(plan.relation().fileFormat().toString()) == "Parquet"
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs, written with a column of row numbers, and its name: ids can be null or repeat, rows can't."""
+    """docs with a column of row numbers, the same in every read, and its name: ids can be null or repeat, rows can't.
+
+    A number is the file's, in order of paths, and the row's place in it. What doesn't lie in Parquet files is written first."""
     row = "row_number"
     while row in docs.columns:
         row += "_"
-    return common.written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    docs = docs if _parquet(docs) else common.written(docs, "documents")
+    at = docs.metadataColumn("_metadata")
+    files = docs.select(at["file_path"].alias("path")).distinct().coalesce(1).sortWithinPartitions("path")
+    files = common.written(files.select("path", F.monotonically_increasing_id().alias("file")), "files")
+    placed = docs.select("*", F.struct(at["file_path"].alias("path"), at["row_index"].alias("place")).alias(row))
+    number = F.shiftleft(files["file"], 40) + placed[row]["place"]
+    joined = placed.join(F.broadcast(files), placed[row]["path"] == files["path"])
+    return joined.select(*[placed[f"`{x}`"] for x in docs.columns], number.alias(row)), row
 
 
 def _kept(docs: DataFrame, found: DataFrame, row: str) -> DataFrame:
-    return docs.join(common.written(found.filter("kept").select(row), "kept-rows"), row, "left_semi").drop(row)
+    """docs' rows that found has as kept, without the row number.
+
+    Verdicts travel to the texts, not texts to the verdicts: a bit for each row, in words of 64. Over WORDS words, both
+    meet in a shuffle."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(row).bitwiseAND(63).cast("int"))
+    words = found.filter("kept").groupBy(F.shiftright(row, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    words = common.written(words, "kept-rows")
+    near = F.broadcast(words) if words.count() <= WORDS else words
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), docs[row].bitwiseAND(63).cast("int"))
+    out = docs.join(near, F.shiftright(docs[row], 6) == words["word"]).filter(words["bits"].bitwiseAND(bit) != 0)
+    return out.select(*[docs[f"`{x}`"] for x in docs.columns if x != row])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,6 +129,53 @@ def test_dedup_stages_go_by_rows(spark):
         assert (2, c) not in got
 
 
+def test_dedup_stages_leave_texts_where_they_lie(spark, tmp_path, monkeypatch):
+    """Whatever its size, a table in files isn't shuffled or copied for the verdicts; over WORDS words the rows are the same."""
+    from urllib.parse import unquote
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from .conftest import prose
+
+    rows = [(i % 150 if i % 7 else None, prose(i % 90, 40)) for i in range(400)]
+    at = str(tmp_path / "a table")
+    spark.createDataFrame(rows, "doc_id long, `text` string").selectExpr("*", "1 AS `a.b`", "2 AS word", "3 AS bits", "4 AS path").repartition(5).write.parquet(at)
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as it is for a larger table
+        for stage in (pipeline.exact_dedup, pipeline.simhash_dedup):
+            docs = spark.read.parquet(at)
+            monkeypatch.setattr(pipeline, "WORDS", 1 << 20, raising=False)
+            out = stage(spark, docs, "")
+            got = sorted(map(repr, out.collect()))
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning" not in plan
+            assert "SortMergeJoin" not in plan
+            assert out.columns == docs.columns
+            texts = [f for f in out.inputFiles() if "text" in spark.read.parquet(unquote(f)).columns]
+            assert texts
+            assert all("a table" in unquote(f) for f in texts)
+            assert len(got) == len({t for _, t in rows})
+            monkeypatch.setattr(pipeline, "WORDS", 0)
+            assert sorted(map(repr, stage(spark, docs, "").collect())) == got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+
+
+def test_row_numbers_are_the_same_in_every_read(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.range(5000).selectExpr("id AS doc_id", "repeat('x', 50) AS text").repartition(7).write.parquet(str(tmp_path / "t"))
+    docs, row = pipeline._numbered(spark.read.parquet(str(tmp_path / "t")))
+    had = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    one = {r[0]: r[row] for r in docs.collect()}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        again, row = pipeline._numbered(spark.read.parquet(str(tmp_path / "t")))
+        assert {r[0]: r[row] for r in again.collect()} == one
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", had)
+    assert len(set(one.values())) == len(one) == 5000
+
+
 def test_language_against_plain_counts(spark, docs):
     """Multinomial naive Bayes by hand: n-grams of the whole text, also where it is longer than a piece."""
     import zlib
