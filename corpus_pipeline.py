@@ -55,7 +55,9 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     files = common.written(files.select("path", F.monotonically_increasing_id().alias("file")), "files")
     placed = docs.select("*", F.struct(at["file_path"].alias("path"), at["row_index"].alias("place")).alias(row))
     number = F.shiftleft(files["file"], 40) + placed[row]["place"]
-    joined = placed.join(F.broadcast(files), placed[row]["path"] == files["path"])
+    # Met by hash, for which a broadcast takes few bytes (one by text takes a page of memory in each executor); then by the path itself.
+    here, there = placed[row]["path"], files["path"]
+    joined = placed.join(F.broadcast(files), (F.xxhash64(here) == F.xxhash64(there)) & here.startswith(there) & there.startswith(here))
     return joined.select(*[placed[f"`{x}`"] for x in docs.columns], number.alias(row)), row
 
 

@@ -55,10 +55,19 @@ class _Memo(dict):
         self[word] = got
         return got
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 _slots = _Memo(slots_of)
 
 
+def _forget() -> None:
+    """Python workers outlive a task and go on to other stages, which need the memory."""
+    _slots.forget()
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """A text's sparse row: slots, and how many of its distinct words have each."""
     flat = list(chain.from_iterable(map(_slots.__getitem__, words(text))))
@@ -79,6 +88,11 @@ class Model:
         z = math.fsum(map(self.memo.__getitem__, words(text))) + self.bias
         return 1 / (1 + math.exp(-min(max(z, -500.0), 500.0)))
 
+    def forget(self) -> None:
+        """Drop what score() has kept of words."""
+        if "memo" in self.__dict__:
+            self.__dict__.pop("memo").forget()
+
 
 def _stack(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One flat sparse matrix: row numbers, slots, values."""
@@ -166,6 +180,7 @@ def _gather(texts: DataFrame) -> list:
             got = [features(t.as_py()) for t in batch.column(2)]
             made = [pa.array([s.astype("<u4").tobytes() for s, _ in got], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in got], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["p", "u", "slots", "x"])
+        _forget()
 
     rows = common.mapped(texts.select("p", "u", "text"), run, "p boolean, u boolean, slots binary, x binary").toLocalIterator()
     return [(r["p"], r["u"], (np.frombuffer(r["slots"], "<u4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(np.float64))) for r in rows]
@@ -197,6 +212,7 @@ def predict(docs: DataFrame, model: Model, *keep: str, text_col: str = "text") -
         for batch in batches:
             got = pa.array([shared.value.score(t.as_py()) for t in batch.column(len(keep))], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), got], [*keep, "score"])
+        shared.value.forget()
 
     kinds = dict(docs.dtypes)
     df = docs.select(*[docs[f"`{x}`"] for x in keep], docs[f"`{text_col}`"].alias("__text"))

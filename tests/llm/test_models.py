@@ -129,6 +129,22 @@ def test_dedup_stages_go_by_rows(spark):
         assert (2, c) not in got
 
 
+def test_toxicity_leaves_nothing_in_workers(spark, docs):
+    """Python workers are used again: after a task they hold no words of it."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 15)], "doc_id long, toxic int")
+    assert toxicity.scored(docs, labels).count() == docs.count()
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(len(x) + len(x.old) for x in gc.get_objects() if type(x).__name__ == "_Memo")]})
+
+    assert [r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()] == [0] * 8
+
+
 def test_dedup_stages_leave_texts_where_they_lie(spark, tmp_path, monkeypatch):
     """Whatever its size, a table in files isn't shuffled or copied for the verdicts; over WORDS words the rows are the same."""
     from urllib.parse import unquote
