@@ -8,11 +8,11 @@ more. LEAST does not grow with the table, so what the tree holds does.
 A state's distribution is smoothed towards its suffix's, (c + m p) / (n + m) with m = n ** SHARE. A token is
 scored in the state of its longest suffix, of DEPTH words at most.
 
-Nothing of the tree is held in one place. Texts become blocks of a million tokens or two, written once.
-For each depth a block asks about its distinct (context, next) pairs with what it counted of them; requests
+Nothing of the tree is held in one place. Texts become blocks of a million tokens or two, written once with the
+hashes of their words, and again, without them, when the words have numbers. For each depth a block asks about its distinct (context, next) pairs with what it counted of them; requests
 meet by context in bounded buckets, are summed over all blocks, and each block gets its answers back: the sums
 and which contexts are states, from which it works out the probabilities itself. Words are numbered by
-frequency on the way, so that pairs, sorted by them, travel as small differences: some three bytes a pair.
+frequency on the way, so that contexts and pairs, sorted by them, travel as small differences: some three bytes a pair.
 A context that came HOT times or more is dealt by its next symbols too; the parts of its test are summed and
 the outcome goes to the blocks that asked.
 """
@@ -41,7 +41,7 @@ _REPLY = "block long, bucket int, level int, reply binary, n long, v long, gain
 
 def _blocks(docs: DataFrame, id_type: str) -> DataFrame:
     """Blocks of whole documents: ids, lengths with the end token (u4), train flags (u1), distinct words by
-    ascending hash (u8), tokens as numbers of these (u4, octet by octet)."""
+    ascending hash (steps, u8), tokens as numbers of these (u4); both octet by octet."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -59,7 +59,7 @@ def _blocks(docs: DataFrame, id_type: str) -> DataFrame:
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
             row = [pa.array([(part << 32) + made], pa.int64()), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type))]
-            row += [pa.array([x.tobytes()], pa.binary()) for x in (np.array(lengths, np.uint32), np.array(train, np.uint8), hashes[order], _octets(place[np.concatenate(tokens)]))]
+            row += [pa.array([x.tobytes()], pa.binary()) for x in (np.array(lengths, np.uint32), np.array(train, np.uint8), _octets(_steps(hashes[order], np.zeros(1, int))), _octets(place[np.concatenate(tokens)]))]
             made, ids, lengths, train, tokens, n = made + 1, [], [], [], [], 0
             words.clear()
             words[b" "]
@@ -134,35 +134,55 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+# Depth 0: words.
+
+
+def _words_asked(row: dict, buckets: int) -> dict[int, bytes]:
+    words, tokens = np.cumsum(_numbers(row["words"], np.uint64)), _numbers(row["tokens"], np.uint32).astype(np.int64)
+    learn = np.repeat(np.frombuffer(row["train"], np.uint8).astype(bool), np.frombuffer(row["lengths"], np.uint32))
+    n = np.bincount(tokens[learn], minlength=len(words)).astype(np.uint32)
+    cuts = np.searchsorted(_bucket(words, buckets), np.arange(buckets + 1)).tolist()
+    return {b: _pack(_steps(words[lo:hi], np.zeros(1, int)), n[lo:hi]) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi}
+
+
+def _settled(tokens: bytes, replies: dict[int, bytes]) -> tuple[bytes, bytes, bytes]:
+    """Of a block whose words have got numbers: the numbers, ascending (steps, u8), how often each came in training
+    (u8), and tokens as places among them (u4); all octet by octet. Small numbers are frequent words."""
+    got = [_unpack(replies[b], np.uint64, np.uint64) for b in sorted(replies)]
+    number, count = (np.concatenate([x[i] for x in got]) for i in (0, 1))
+    order = np.argsort(number)
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    return tuple(_octets(x).tobytes() for x in (_steps(number[order], np.zeros(1, int)), count[order], place[_numbers(tokens, np.uint32)]))
+
+
+def _longer(names: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Names of contexts with one more word."""
+    with np.errstate(over="ignore"):
+        return common.mix64(names * np.uint64(0x9E3779B97F4A7C15) + number)
+
+
+def _new_runs(columns: list[np.ndarray]) -> np.ndarray:
+    """Where rows begin that differ from those before in any of these columns; the first row counts."""
+    return np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], axis=0)]))
+
+
 class _Walk:
-    """A block with the answers so far: per token its log probability, and the contexts to ask about next.
+    """A settled block with the answers so far: per token its log probability, and the contexts to ask about next.
 
-    Contexts have numbers in the block, `ctx` at each token; `names` are the same in all blocks: a word's
-    number, or the hash of a chain of them. `times` says how often each came in training."""
+    Contexts have numbers in the block, `ctx` at each token, in the order of their words' numbers, which `chain`
+    has word by word; `names` are the same in all blocks: a word's number, or the hash of a chain of them. `times`
+    says how often each came in training."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, total: int, distinct: int):
         self.lengths, self.train = np.frombuffer(row["lengths"], np.uint32).astype(np.int64), np.frombuffer(row["train"], np.uint8)
-        self.words, self.tokens = np.frombuffer(row["words"], np.uint64), _numbers(row["tokens"], np.uint32).astype(np.int64)
         self.begin = np.cumsum(self.lengths) - self.lengths
-        self.first = np.zeros(len(self.tokens), bool)
-        self.first[self.begin] = True
         self.learn = np.repeat(self.train.astype(bool), self.lengths)
-
-    # Depth 0: words.
-
-    def words_asked(self, buckets: int) -> dict[int, bytes]:
-        n = np.bincount(self.tokens[self.learn], minlength=len(self.words)).astype(np.uint32)
-        cuts = np.searchsorted(_bucket(self.words, buckets), np.arange(buckets + 1)).tolist()
-        return {b: _pack(_steps(self.words[lo:hi], np.zeros(1, int)), n[lo:hi]) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi}
-
-    def words_told(self, replies: dict[int, bytes], total: int, distinct: int) -> None:
-        got = [_unpack(replies[b], np.uint64, np.uint64) for b in sorted(replies)]
-        number, count = (np.concatenate([x[i] for x in got]).astype(np.int64) for i in (0, 1))
-        order = np.argsort(number)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.token, self.number = place[self.tokens], number[order]
-        self.names, self.times = self.number.astype(np.uint64), count[order]
+        self.token, self.times = _numbers(row["tokens"], np.uint32).astype(np.int64), _numbers(row["times"], np.uint64).astype(np.int64)
+        self.first = np.zeros(len(self.token), bool)
+        self.first[self.begin] = True
+        self.names = np.cumsum(_numbers(row["numbers"], np.uint64))
+        self.number, self.chain = self.names.astype(np.int64), [self.names]
         self.count = self.times[self.token]
         self.log = np.log((self.count + 1) / (total + distinct + 1))
         self.base = np.add.reduceat(self.log, self.begin)
@@ -207,7 +227,8 @@ class _Walk:
         self.place = by_run[_ranges(begin[rows], self.run_length)]
 
     def pairs_asked(self, buckets: int, level: int) -> dict[int, bytes]:
-        """Parents come with each pair; at level 1 they hang on the next word alone, and come once for each."""
+        """Contexts go by the numbers of their words, one word after the other. Parents come with each pair; at level 1
+        they hang on the next word alone, and come once for each."""
         self.pairs(buckets)
         cuts = np.searchsorted(self.run_bucket, np.arange(buckets + 1)).tolist()
         ends = np.concatenate([[0], np.cumsum(self.run_length)])
@@ -219,7 +240,9 @@ class _Walk:
                 hot = np.flatnonzero(self.times[c] >= HOT)
                 next_ = self.number[self.pair_next[own]].astype(np.uint64)
                 parent = _steps(self.parent[own], starts) if level > 1 else _steps(self.parent[own[np.unique(next_, return_index=True)[1]]], np.zeros(1, int))
-                out[b] = _pack(_steps(self.names[c], np.zeros(1, int)), length.astype(np.uint32), hot.astype(np.uint32), self.times[c[hot]].astype(np.uint64), _steps(next_, starts), self.own[own], parent)
+                words = [x[c] for x in self.chain]
+                words = [_steps(x, _new_runs(words[:i]) if i else np.zeros(1, int)) for i, x in enumerate(words)]
+                out[b] = _pack(*words, length.astype(np.uint32), hot.astype(np.uint32), self.times[c[hot]].astype(np.uint64), _steps(next_, starts), self.own[own], parent)
         return out
 
     def pairs_told(self, replies: dict[int, bytes], hot: set[int], buckets: int) -> None:
@@ -238,12 +261,12 @@ class _Walk:
         n = self.times[self.ctx[at]].astype(np.float64)
         m = n**SHARE
         self.log[at] = np.log((count[self.inverse[scored]] + m * np.exp(self.log[at])) / (n + m))
-        pair = np.full(len(self.tokens), -1)
+        pair = np.full(len(self.token), -1)
         pair[self.at] = self.inverse
-        suffix = np.zeros(len(self.tokens), bool)
+        suffix = np.zeros(len(self.token), bool)
         suffix[at] = True
-        with np.errstate(over="ignore"):
-            self.names = common.mix64(self.names[self.pair_ctx] * np.uint64(0x9E3779B97F4A7C15) + self.number[self.pair_next].astype(np.uint64))
+        last = self.number[self.pair_next].astype(np.uint64)
+        self.names, self.chain = _longer(self.names[self.pair_ctx], last), [*(x[self.pair_ctx] for x in self.chain), last]
         self.times = count
         self.ctx = np.concatenate([[-1], pair[:-1]])
         self.ctx[self.first] = -1
@@ -268,12 +291,23 @@ def _merge_words(table: pa.Table, bucket: int, buckets: int) -> list[dict]:
     return [*out, _answer(bucket, 0, n=int(total.sum()), v=int((total > 0).sum()))]
 
 
+def _names(words: list[np.ndarray]) -> np.ndarray:
+    """Names of the contexts of a request, from the steps of their words' numbers."""
+    chain = [np.cumsum(words[0])]
+    names = chain[0]
+    for steps in words[1:]:
+        chain.append(_walked(steps, np.diff(np.append(_new_runs(chain), len(steps)))))
+        names = _longer(names, chain[-1])
+    return names
+
+
 def _merge_pairs(table: pa.Table, bucket: int, level: int) -> list[dict]:
     """A reply has for each run 1 if its context is a state, 2 if that is not known here, else 0; and for each
     pair its sum. Parts of the test of hot contexts are rows of block -2: name, occurrences, gain."""
-    parts = [_unpack(x, np.uint64, np.uint32, np.uint32, np.uint64, np.uint64, np.uint64, np.int16) for x in table.column("payload").to_pylist()]
+    parts = [_unpack(x, *[np.uint64] * level, np.uint32, np.uint32, np.uint64, np.uint64, np.uint64, np.int16) for x in table.column("payload").to_pylist()]
+    parts = [[_names(p[:level]), *p[level:]] for p in parts]
     lengths = [p[1].astype(np.int64) for p in parts]
-    names, of = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+    names, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     n, hot = np.zeros(len(names)), np.zeros(len(names), bool)
     at = 0
     for p in parts:
@@ -338,74 +372,84 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     spread = common.partitions(rows, 64 << 20)
     tables: list[tuple[str, str]] = []
 
-    def kept(df: DataFrame, after: tuple[str, str] | None = None) -> DataFrame:
+    def kept(df: DataFrame, after: tuple[str, str] | None = None) -> tuple[str, str]:
         """df in buckets by block, appended to a table if given: blocks and their answers stay where they are."""
         name, path = after or (f"lm_blocks_{uuid.uuid4().hex}", common.fresh(spark, "lm-blocks"))
         with common.shuffles_dropped(spark):
             df.write.format("parquet").bucketBy(spread, "block").option("path", path).option("compression", "zstd").mode("append").saveAsTable(name)
         if not after:
             tables.append((name, path))
-        return spark.table(name)
+        return name, path
+
+    def gone(*which: tuple[str, str]) -> None:
+        for name, path in which:
+            tables.remove((name, path))
+            spark.sql(f"DROP TABLE {name}")
+            common.delete(spark, path)
 
-    blocks = kept(_blocks(rows, kind))
-    size = blocks.agg(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0
+    raw = kept(_blocks(rows, kind))
+    size = spark.table(raw[0]).agg(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0
     buckets = max(spread, -(-int(size) // BUCKET))
+    request = "block long, bucket int, payload binary"
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 
-    def walked(row: dict, replies: list[dict], levels: int, totals) -> _Walk:
-        walk = _Walk(row)
-        for d in range(levels):
-            of = {r["bucket"]: r["reply"] for r in replies if r["level"] == d and r["bucket"] >= 0}
-            hot = {r["n"] & 0xFFFFFFFFFFFFFFFF for r in replies if r["level"] == d and r["bucket"] < 0}
-            walk.words_told(of, *totals) if d == 0 else walk.pairs_told(of, hot, buckets)
-        return walk
-
-    def asked(walk: _Walk, block: int, level: int) -> pa.Table:
-        got = walk.words_asked(buckets) if level == 0 else walk.pairs_asked(buckets, level)
+    def sent(block: int, got: dict[int, bytes]) -> pa.Table:
         return pa.table({"block": [block] * len(got), "bucket": list(got), "payload": list(got.values())}, schema)
 
-    def together(columns: list[str], replies: DataFrame, function, out: str) -> DataFrame:
-        own = replies.filter("block >= 0").select("block", "bucket", "level", "reply", "n")
-        return blocks.select("block", *columns).groupBy("block").cogroup(own.groupBy("block")).applyInArrow(lambda a, b: function(a.to_pylist()[0], b.to_pylist()), out)
-
-    def next_requests(level: int, totals):
-        return lambda row, replies: asked(walked(row, replies, level, totals), row["block"], level)
+    def merged(requests: DataFrame, level: int, after: tuple[str, str] | None) -> tuple[str, str]:
+        with common.batches_of(spark, 4):  # of blocks
+            return kept(requests.groupBy("bucket").applyInArrow(_merger(level, buckets), _REPLY).repartition(spread, "block"), after)
 
-    told, totals, rest = None, (0, 0), None
-    for level in range(depth + 1):
-        if level == 0:
+    def together(blocks: DataFrame, replies: DataFrame, function, out: str) -> DataFrame:
+        own = replies.filter("block >= 0").select("block", "bucket", "level", "reply", "n")
+        return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(function, out)
 
-            def first(batches):
-                for batch in batches:
-                    for i in range(batch.num_rows):
-                        row = batch.slice(i, 1).to_pylist()[0]
-                        yield from asked(_Walk(row), row["block"], 0).to_batches()
+    def first(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from sent(row["block"], _words_asked(row, buckets)).to_batches()
+
+    def settle(block: pa.Table, replies: pa.Table) -> pa.Table:
+        of = dict(zip(replies.column("bucket").to_pylist(), replies.column("reply").to_pylist()))
+        got = _settled(block.column("tokens")[0].as_py(), of)
+        return pa.table([*(block.column(x) for x in ("block", "ids", "lengths", "train")), *(pa.array([x], pa.binary()) for x in got)], ["block", "ids", "lengths", "train", "numbers", "times", "tokens"])
+
+    told = merged(spark.table(raw[0]).select("block", "lengths", "train", "words", "tokens").mapInArrow(first, request), 0, None)
+    total, distinct = spark.table(told[0]).filter("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    blocks = kept(together(spark.table(raw[0]).drop("words"), spark.table(told[0]), settle, f"block long, ids array<{kind}>, lengths binary, train binary, numbers binary, times binary, tokens binary"))
+    gone(raw, told)
+    told = None
+
+    def answered(*columns: str, function, out: str) -> DataFrame:
+        replies = spark.table(told[0]) if told else spark.createDataFrame([], _REPLY)
+        return together(spark.table(blocks[0]).select("block", *columns, "lengths", "train", "numbers", "times", "tokens"), replies, function, out)
+
+    def walked(block: pa.Table, replies: pa.Table, levels: int) -> _Walk:
+        walk, replies = _Walk(block.to_pylist()[0], total, distinct), replies.to_pylist()
+        for d in range(1, levels):
+            of = {r["bucket"]: r["reply"] for r in replies if r["level"] == d and r["bucket"] >= 0}
+            walk.pairs_told(of, {r["n"] & 0xFFFFFFFFFFFFFFFF for r in replies if r["level"] == d and r["bucket"] < 0}, buckets)
+        return walk
 
-            sent = blocks.mapInArrow(first, "block long, bucket int, payload binary")
-        else:
-            sent = together(["lengths", "train", "words", "tokens"], told, next_requests(level, totals), "block long, bucket int, payload binary")
+    def next_requests(level: int):
+        return lambda block, replies: sent(block.column("block")[0].as_py(), walked(block, replies, level).pairs_asked(buckets, level))
 
-        with common.batches_of(spark, 4):  # of blocks
-            told = kept(sent.groupBy("bucket").applyInArrow(_merger(level, buckets), _REPLY).repartition(spread, "block"), rest)
-        rest = tables[1]
-        if level == 0:
-            got = told.filter("block = -1").agg(F.sum("n"), F.sum("v")).first()
-            totals = (got[0] or 0, got[1] or 0)
-        if not told.filter(f"block = -2 and level = {level}").isEmpty():
-            told = kept(_hot_states(told.filter(f"level = {level}")).repartition(spread, "block"), rest)
+    for level in range(1, depth + 1):
+        told = merged(answered(function=next_requests(level), out=request), level, told)
+        own = spark.table(told[0]).filter(f"level = {level}")
+        if not own.filter("block = -2").isEmpty():
+            kept(_hot_states(own).repartition(spread, "block"), told)
 
     out_schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def final(row, replies):
-        walk = walked(row, replies, depth + 1, totals)
+    def final(block, replies):
+        walk = walked(block, replies, depth + 1)
         ten = np.log(10)
         return pa.table({
-            id_col: row["ids"], "held_out": ~walk.train.astype(bool), "n_tokens": walk.lengths, "n_known": np.add.reduceat((walk.count > 0).astype(np.int64), walk.begin),
-            "train_tokens": np.full(len(walk.lengths), totals[0], np.int64), "base_score": walk.base / ten, "score": np.add.reduceat(walk.log, walk.begin) / ten,
+            id_col: block.column("ids")[0].as_py(), "held_out": ~walk.train.astype(bool), "n_tokens": walk.lengths, "n_known": np.add.reduceat((walk.count > 0).astype(np.int64), walk.begin),
+            "train_tokens": np.full(len(walk.lengths), total, np.int64), "base_score": walk.base / ten, "score": np.add.reduceat(walk.log, walk.begin) / ten,
         })
 
-    out = common.written(together(["ids", "lengths", "train", "words", "tokens"], told, final, out_schema), "lm-scores")
-    for name, path in tables:
-        spark.sql(f"DROP TABLE {name}")
-        common.delete(spark, path)
+    out = common.written(answered("ids", function=final, out=out_schema), "lm-scores")
+    gone(*tables)
     return out

@@ -108,3 +108,34 @@ def test_what_counts_as_a_context_does_not_rise_with_the_table(spark):
             last = (n + m * last) / (n + m)
         want = math.log10(p) + math.log10(one) + math.log10((n + m * one) / (n + m)) + math.log10(last)
         assert {round(r.score, 3) for r in got} == {round(want, 3)}
+
+
+def test_word_hashes_do_not_stay(spark, monkeypatch):
+    """Once words have numbers, what lies on disk for a block is less than its words' hashes alone: 8 bytes for each."""
+    from pathlib import Path
+
+    n = 120_000  # words, distinct and not guessable from one another
+    rows = spark.range(40).selectExpr("id AS doc_id", f"concat_ws(' ', transform(sequence(1, {n // 40}), i -> sha2(concat(id, ' ', i), 256))) AS text")
+    top, sizes, written = Path(S.common.scratch(spark).removeprefix("file://")), [], S.common.written
+    before = {*top.glob("lm-blocks-*")}
+
+    def measured(df, name, *rest):
+        sizes.append(sum(f.stat().st_size for d in {*top.glob("lm-blocks-*")} - before for f in d.rglob("*.parquet")))
+        return written(df, name, *rest)
+
+    monkeypatch.setattr(S.common, "written", measured)
+    assert S.score(rows).count() == 40
+    assert 0 < sizes[-1] < 8 * n
+
+
+def test_names_of_contexts_from_their_words_numbers():
+    import numpy as np
+
+    words = np.array([[1, 1, 5], [1, 1, 7], [1, 4, 0], [2, 0, 0], [2, 0, 0], [9, 9, 3]], np.uint64)  # a hot context may come twice
+    want = words[:, 0]
+    for i in (1, 2):
+        want = S._longer(want, words[:, i])
+    columns = list(words.T)
+    steps = [S._steps(x, S._new_runs(columns[:i]) if i else np.zeros(1, int)) for i, x in enumerate(columns)]
+    assert S._names(steps).tolist() == want.tolist()
+    assert len(set(want.tolist())) == 5
