@@ -37,9 +37,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _parquet(docs: DataFrame) -> bool:
-    """Whether docs is what Parquet files hold, row by row."""
+    """Whether docs is what Parquet files hold, row by row, each file once."""
     plan = docs._jdf.queryExecution().analyzed()
-    return plan.getClass().getSimpleName() == "LogicalRelation" and str(plan.relation().fileFormat().toString()) == "Parquet"
+    if plan.getClass().getSimpleName() != "LogicalRelation" or str(plan.relation().fileFormat().toString()) != "Parquet":
+        return False
+    return len(plan.relation().location().inputFiles()) == len(docs._jdf.inputFiles())  # the latter has each once
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:

@@ -177,6 +177,19 @@ def test_dedup_stages_leave_texts_where_they_lie(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
 
 
+def test_a_file_given_twice_keeps_no_copies(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from .conftest import prose
+
+    at = str(tmp_path / "t")
+    spark.createDataFrame([(i, prose(i, 60)) for i in range(20)], "doc_id long, text string").repartition(2).write.parquet(at)
+    docs = spark.read.parquet(at, at)
+    assert docs.count() == 40
+    for stage in (pipeline.exact_dedup, pipeline.simhash_dedup):
+        got = [r.text for r in stage(spark, docs, "").collect()]
+        assert sorted(got) == sorted(prose(i, 60) for i in range(20))
+
+
 def test_row_numbers_are_the_same_in_every_read(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     spark.range(5000).selectExpr("id AS doc_id", "repeat('x', 50) AS text").repartition(7).write.parquet(str(tmp_path / "t"))
