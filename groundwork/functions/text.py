@@ -114,12 +114,25 @@ def containment(a: Column, b: Column) -> Column:
     return F.when((F.size(short) > 0) & (F.size(F.array_except(short, long)) == 0) & telling, CONTAINED_NAME_SIMILARITY).otherwise(0.0)
 
 
+def initials(tokens_: Column) -> Column:
+    """First characters of tokens, joined."""
+    return F.array_join(F.transform(tokens_, lambda w: F.left(w, F.lit(1))), "")
+
+
 def acronym(a: Column, b: Column) -> Column:
     """ACRONYM_SIMILARITY where one name is a single token made of the initials of the other's tokens."""
-    x, y = tokens(a), tokens(b)
-    initials = lambda t: F.array_join(F.transform(t, lambda w: F.left(w, F.lit(1))), "")
-    hit = ((F.size(x) == 1) & (F.size(y) > 1) & (F.get(x, F.lit(0)) == initials(y))) | ((F.size(y) == 1) & (F.size(x) > 1) & (F.get(y, F.lit(0)) == initials(x)))
-    return F.when(hit, ACRONYM_SIMILARITY).otherwise(0.0)
+    return stands_for(short_and_long(a), short_and_long(b))
+
+
+def short_and_long(normed: Column) -> Column:
+    """What acronyms are told by: the token of a name that has only one, the initials of one that has more."""
+    t = tokens(normed)
+    return F.struct(F.when(F.size(t) == 1, F.get(t, F.lit(0))).alias("short"), F.when(F.size(t) > 1, initials(t)).alias("initials"))
+
+
+def stands_for(x: Column, y: Column) -> Column:
+    """acronym of names given by short_and_long."""
+    return F.when((x["short"] == y["initials"]) | (y["short"] == x["initials"]), ACRONYM_SIMILARITY).otherwise(0.0)
 
 
 def soft_in(a: Column, b: Column, least: int = 3) -> Column:
