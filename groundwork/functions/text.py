@@ -99,8 +99,17 @@ def numbers_differ(a: Column, b: Column) -> Column:
     return numbers(a) != numbers(b)
 
 
+def words(normed: Column) -> Column:
+    """Distinct tokens."""
+    return F.array_distinct(tokens(normed))
+
+
 def token_f1(a: Column, b: Column) -> Column:
-    x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
+    return words_f1(words(a), words(b))
+
+
+def words_f1(x: Column, y: Column) -> Column:
+    """token_f1 of names given by their words."""
     return F.when((F.size(x) > 0) & (F.size(y) > 0), 2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))).otherwise(0.0)
 
 
