@@ -116,7 +116,11 @@ def words_f1(x: Column, y: Column) -> Column:
 def containment(a: Column, b: Column) -> Column:
     """CONTAINED_NAME_SIMILARITY where the shorter name's tokens are all in the longer's, unless it is one
     token of under four characters; of equal lengths the left counts as the shorter."""
-    x, y = tokens(a), tokens(b)
+    return tokens_contained(tokens(a), tokens(b))
+
+
+def tokens_contained(x: Column, y: Column) -> Column:
+    """containment of names given by their tokens."""
     left = F.size(x) <= F.size(y)
     short, long = F.when(left, x).otherwise(y), F.when(left, y).otherwise(x)
     telling = (F.size(short) > 1) | (F.char_length(F.get(short, F.lit(0))) >= 4)

@@ -185,7 +185,7 @@ def number_guard_pairs(spark: SparkSession, sf: str) -> DataFrame:
 SELECT a_id, b_id, CASE WHEN len(short) > 0 AND list_has_all(long, short) AND (len(short) > 1 OR length(short[1]) >= 4) THEN 0.9 ELSE 0.0 END::DOUBLE AS contained FROM s
 """, base=False)
 def containment_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _part_pairs(spark, sf).select("a_id", "b_id", X.containment(F.col("a"), F.col("b")).alias("contained"))
+    return _part_scores(spark, sf, X.tokens, X.tokens, X.tokens_contained, "contained")
 
 
 @_query(_PAIRS + """
