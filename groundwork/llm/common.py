@@ -227,5 +227,12 @@ def mapped(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """A few rows of the driver's, by way of Arrow: rows that Python pickles are read by a second set of Python workers,
+    which then stay on the executors."""
+    columns = {name: pa.array([row[i] for row in rows], kind) for i, (name, kind) in enumerate(kinds.items())}
+    return spark.createDataFrame(pa.table(columns))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 
 #: Hash slots of the n-gram table, and labelled rows to learn from (chosen by hash of the id), at most about.
 SLOTS, MOST_ROWS = 1 << 16, 20_000
@@ -114,6 +114,7 @@ def predict(docs: DataFrame, model: Model, *keep: str, text_col: str = "text") -
     shared = spark.sparkContext.broadcast(model)  # SLOTS x languages floats, whatever the input
 
     def run(batches):
+        tokens.forget()
         for batch in batches:
             got = [shared.value.score(t.as_py()) for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*keep, "lang_pred", "score"])

@@ -26,6 +26,7 @@ CAPACITY = 2048
 RANGE = 200_000
 #: What rows of a sweep are: a piece in its place, a piece left over, a gap as it is now.
 PLACED, LEFT, GAP = 0, 1, 2
+INT, LONG = pa.int32(), pa.int64()
 
 _SWEPT = "what int, part int, at long, pid long, length long, seq long, gap long, offset long, n long"
 
@@ -100,11 +101,11 @@ def _swept(todo: DataFrame, gaps: DataFrame, ranges: int, longest: int, capacity
 def _crossed(swept: DataFrame, found: list[tuple], capacity: int) -> DataFrame:
     """Pieces that find a place in another range: pid, length, seq, offset. found has two rows or so for each range."""
     spark = swept.sparkSession
-    cut = F.broadcast(spark.createDataFrame(found, "part int, lo long, hi long, other int, top long"))
+    cut = F.broadcast(common.local_table(spark, found, part=INT, lo=LONG, hi=LONG, other=INT, top=LONG))
     used: dict[int, int] = {}
     for _, lo, hi, other, top in found:
         used[other] = min(used.get(other, top), top - (hi - lo) + 1)
-    low = F.broadcast(spark.createDataFrame(list(used.items()), "part int, low long"))
+    low = F.broadcast(common.local_table(spark, list(used.items()), part=INT, low=LONG))
     pieces_ = swept.filter(F.col("what") == LEFT).join(cut, "part").filter("at >= lo and at < hi").select("pid", "length", "other", (F.col("top") - F.col("at") + F.col("lo")).alias("place"))
     places = swept.filter((F.col("what") == GAP) & (F.col("n") > 0)).join(low, "part").filter("at + n > low")
     places = places.select(F.col("part").alias("other"), "seq", "gap", F.explode(F.sequence(F.greatest("at", "low"), F.col("at") + F.col("n") - 1)).alias("place"))
@@ -133,7 +134,7 @@ def pack_lengths(pieces: DataFrame, length: str = "length", pid: str = "pid", ca
             ends: dict[int, int] = {}
             for part, _, hi, *_ in found:
                 ends[part] = max(ends.get(part, 0), hi)
-            taken = F.broadcast(spark.createDataFrame(list(ends.items()), "part int, taken long"))
+            taken = F.broadcast(common.local_table(spark, list(ends.items()), part=INT, taken=LONG))
             todo = todo.join(taken, "part", "left").filter(F.col("at") >= F.coalesce("taken", F.lit(0)))
             gaps = gaps.unionByName(crossed.select("seq", (-F.col("length")).alias("gap"))).groupBy("seq").agg(F.sum("gap").alias("gap"))
             gaps = common.written(gaps, "packing-gaps")

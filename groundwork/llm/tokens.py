@@ -7,6 +7,7 @@ others go through the library whole. Results equal Tokenizer.encode(text, add_sp
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -101,3 +102,10 @@ def _byte_alphabet() -> list[str]:
 def encoder(path: str) -> Encoder:
     """One for each Python worker."""
     return Encoder(path)
+
+
+def forget() -> None:
+    """Drop the encoders of this Python worker: it outlives packing and goes on to stages that need the memory."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()  # an encoder and its caches point at each other

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 
 #: Hash slots of the word features; labelled rows learned from as positives and as unlabelled, at most about.
 SLOTS, MOST_POSITIVE, MOST_UNLABELLED = 1 << 18, 5_000, 15_000
@@ -209,6 +209,7 @@ def predict(docs: DataFrame, model: Model, *keep: str, text_col: str = "text") -
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS floats, whatever the input
 
     def run(batches):
+        tokens.forget()
         for batch in batches:
             got = pa.array([shared.value.score(t.as_py()) for t in batch.column(len(keep))], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), got], [*keep, "score"])

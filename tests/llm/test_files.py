@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -96,6 +97,28 @@ def test_packing_holds_every_piece(spark, docs, tokenizer):
     assert len(seqs) <= -(-sum(w[3] for w in want) // 128) + 1
 
 
+def test_packing_starts_no_second_python_workers(spark, monkeypatch):
+    """Rows that Python pickles would be read by Python workers of their own, which stay on the executors."""
+
+    def refused(*_, **__):
+        raise AssertionError("rows pickled by Python")
+
+    pieces = spark.range(400).selectExpr("id as pid", "1 + pmod(xxhash64(id), 2048) as length")
+    sizes = [tuple(r) for r in pieces.collect()]
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    got = packing.pack_lengths(pieces, rows_each=50).collect()
+    assert sorted((r["pid"], r["length"]) for r in got) == sorted(sizes)
+
+
+def test_encoders_are_dropped_for_other_stages():
+    kept = tokens.encoder(tokens.default_path())
+    kept.encode("one two")
+    gone = weakref.ref(kept.words)
+    del kept
+    tokens.forget()
+    assert gone() is None and tokens.encoder.cache_info().currsize == 0
+
+
 def test_packing_empty(empty):
     assert packing.packed(empty).collect() == []
 
